@@ -24,3 +24,64 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohesia.llm.simhash import classes
 
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+#: Fixed rules of the contract: (verdict, host, path).
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohesia.llm.urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+_RULE_FITS = "\n".join(
+    f"    WHEN (host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}') THEN '{host}{path}'"
+    for _, host, path in sorted(URL_RULES, key=lambda r: (-len(r[1]), -len(r[2])))
+)
+_RULE_SAYS = "\n".join(f"    WHEN '{host}{path}' THEN '{verdict}'" for verdict, host, path in URL_RULES)
+SQL["op3_url_filters"] = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*', 0) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^[^/]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(r, ''), '^[^/]*(.*)$', 1, 's') AS path FROM rest
+), fits AS (
+  SELECT *, CASE
+{_RULE_FITS}
+  END AS rule FROM parts
+)
+SELECT page_id, host, path, rule, CASE rule
+{_RULE_SAYS}
+    ELSE 'allow' END AS verdict
+FROM fits
+"""
+
+
+@query
+def op8_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohesia.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op8_exact_topk_search"] = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
