@@ -116,3 +116,44 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+@query
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohesia.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohesia.llm.mixing import sample
+
+    return sample(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op6_mixing_sources"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         (('0x' || substr(md5('mix-1:' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM documents
+), totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS cap FROM totals
+), l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
+  FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT arg_min(level, (cap::DOUBLE / weight, place)) FROM l WHERE weight * level <= cap)) AS target FROM l
+), f AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), g AS (
+  SELECT *, target - whole * source_size AS fill FROM f
+), q AS (
+  SELECT *, CASE WHEN source_size > 0 AND fill > 0 THEN u / (1 - u) * ((1 - fill / source_size) / (fill / source_size)) ELSE 1.0 END AS odds FROM g
+), c AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q
+)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN ahead + size / 2 <= fill THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+"""
