@@ -157,3 +157,34 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN ahead + size / 2 <= fill THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohesia.llm.lines import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, pos::BIGINT AS pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
+), c AS (
+  SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM lines
+), runs AS (
+  SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto >= a.upto - a.nw + 25 GROUP BY 1, 2
+  UNION
+  SELECT b.doc_id, max(a.pos) AS s, b.pos AS e FROM c b JOIN c a ON a.doc_id = b.doc_id AND a.pos <= b.pos AND b.upto - (a.upto - a.nw) >= 25 GROUP BY 1, 3
+), texts AS (
+  SELECT r.doc_id, s, e, string_agg(line, chr(10) ORDER BY pos) AS run FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.pos BETWEEN s AND e GROUP BY 1, 2, 3
+), firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY run, e - s ORDER BY doc_id, s) AS nth FROM texts
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM firsts WHERE nth > 1
+)
+SELECT d.doc_id, count(l.pos)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '')) AS kept_sha256
+FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
+GROUP BY d.doc_id
+"""
