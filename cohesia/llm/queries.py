@@ -188,3 +188,10 @@ SELECT d.doc_id, count(l.pos)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_remo
 FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
 GROUP BY d.doc_id
 """
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohesia.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
