@@ -202,3 +202,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohesia.llm.toxicity import score_toxicity
 
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+@query
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohesia.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
