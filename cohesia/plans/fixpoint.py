@@ -1,0 +1,23 @@
+"""Driver loops over plans: one table in the shared folder per round."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from cohesia.runtime import materialize, release
+
+
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], object], max_rounds: int = 10_000) -> DataFrame:
+    """Apply ``step`` until ``measure`` gives the same value twice; each round's table replaces the one before."""
+    old = materialize(start, "round")
+    seen = measure(old)
+    for _ in range(max_rounds):
+        new = materialize(step(old), "round")
+        found = measure(new)
+        release(old)
+        if found == seen:
+            return new
+        old, seen = new, found
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
