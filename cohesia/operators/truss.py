@@ -132,8 +132,9 @@ def trussness_peel(edges: DataFrame, local_below: int = 0) -> DataFrame:
         l = max(l, counts.agg(F.min("s")).first()[0])
         tri, counts, dying, n = _round(tri, counts, l)
         done.append(dying.select("e", F.lit(l + 2).alias("trussness")))
-    if n:
-        done.append(_in_one_task(tri).select("e", F.greatest("trussness", F.lit(l + 2)).alias("trussness")))
+    if done:  # edges left, in triangles or in none, last at least as long as the level reached
+        rest = counts.select("e").join(_in_one_task(tri), "e", "left")
+        done.append(rest.select("e", F.greatest(F.coalesce("trussness", F.lit(0)), F.lit(l + 2)).alias("trussness")))
     if not done:
         return g.labelled(_in_one_task(tri), "trussness", 2)
     out = done[0]

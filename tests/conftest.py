@@ -14,9 +14,9 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.driver.memory", "4g")
+        .config("spark.driver.memory", "3g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
