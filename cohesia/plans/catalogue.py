@@ -329,10 +329,10 @@ def segment_sum(spark, d):
     return ragged.segment_sum(values, Graph(g).vertices, "id", "support")
 
 
-@query(_S + ", dying AS (SELECT * FROM s WHERE support >= 8), ends AS (SELECT src AS v FROM dying UNION SELECT dst FROM dying) SELECT src, dst FROM g WHERE src IN (FROM ends) OR dst IN (FROM ends)")
+@query(_S + ", dying AS (SELECT * FROM s WHERE support >= 4), ends AS (SELECT src AS v FROM dying UNION SELECT dst FROM dying) SELECT src, dst FROM g WHERE src IN (FROM ends) OR dst IN (FROM ends)")
 def affected_edges_of_frontier(spark, d):
     g = part_graph(spark, d)
-    return triangles.affected_edges(g, triangles.support(g).where("support >= 8"))
+    return triangles.affected_edges(g, triangles.support(g).where("support >= 4"))
 
 
 _AFTER = """g2 AS (SELECT src, dst FROM s WHERE support > 1),
