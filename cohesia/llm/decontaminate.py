@@ -155,7 +155,7 @@ def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     for start, end in cuts:
         out.append(data[done:start].rstrip(b" "))
         done = end
-    return b" ".join([*out, data[done:].lstrip(b" ")]) if cuts else data
+    return b" ".join(filter(None, [*out, data[done:].lstrip(b" ")])) if cuts else data
 
 
 _FOUND = "doc_id long, text string, n_words long, starts array<long>, ends array<long>, items array<string>"

@@ -9,6 +9,8 @@ whole block of queries. The kth score carries over from one shard of a task to t
 
 from __future__ import annotations
 
+import heapq
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,16 +74,14 @@ def _exact(vectors: np.ndarray, most: float) -> bool:
     return not vectors.size or float(np.abs(vectors).max()) * most * max(1, vectors.shape[1]) < 2.0**53
 
 
-def _brute(ids, vectors, q_ids, queries, k, top, top_ids) -> None:
-    """Integers too large for doubles: scores in Python's integers, held within 64 bits at the end."""
-    whole = [[int(x) for x in v] for v in vectors]
-    for q, query in enumerate(queries):
+def _large(ids, vectors, q_ids, queries, k) -> Iterator[tuple[int, int, int]]:
+    """Components too large for doubles: this shard's best rows in Python's integers, held within 64 bits at the end."""
+    whole = [(int(i), [int(x) for x in v]) for i, v in zip(ids, vectors)]
+    for q, query in zip(q_ids, queries):
         weights = [int(x) for x in query]
-        found = [(float(s), i) for s, i in zip(top[q], top_ids[q]) if s > -np.inf]
-        exact = [(max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(weights, v)))), int(i)) for v, i in zip(whole, ids) if i != q_ids[q]]
-        best = sorted(found + exact, key=lambda x: (-x[0], x[1]))[:k]
-        for at, (s, i) in enumerate(best):
-            top[q, at], top_ids[q, at] = s, i
+        scored = ((sum(map(operator.mul, weights, v)), i) for i, v in whole if i != q)
+        for score, i in heapq.nsmallest(k, ((-max(-(2**63), min(2**63 - 1, s)), i) for s, i in scored)):
+            yield int(q), i, -score
 
 
 def _search(block, k: int):
@@ -99,11 +99,11 @@ def _search(block, k: int):
                     part = slice(at, at + 256)
                     shard.search(q_ids[part], queries[part], k, top[part], top_ids[part])
             else:
-                _brute(ids, vectors, q_ids, queries, k, top, top_ids)
+                found = list(_large(ids, vectors, q_ids, queries, k))
+                yield pa.record_batch([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
         for q_ids, _, top, top_ids in state.values():
             at, rank = np.nonzero(np.isfinite(top))
-            scores = np.clip(top[at, rank], -(2.0**63), np.nextafter(2.0**63, 0)).astype(np.int64)
-            yield pa.record_batch([pa.array(q_ids[at]), pa.array(top_ids[at, rank]), pa.array(scores)], ["query_id", "vec_id", "score"])
+            yield pa.record_batch([pa.array(q_ids[at]), pa.array(top_ids[at, rank]), pa.array(top[at, rank].astype(np.int64))], ["query_id", "vec_id", "score"])
 
     return run
 

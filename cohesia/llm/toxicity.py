@@ -227,10 +227,10 @@ def _inputs(n: np.ndarray, hit: np.ndarray, kinds: np.ndarray, weight: np.ndarra
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; without both classes, or without rows, scores stay under 0.5."""
+    """Ridge logistic regression by Newton's method; without rows of both classes all scores are near 0."""
     beta = np.zeros(x.shape[1])
     if len(y) == 0 or y.min() == y.max():
-        beta[0] = 5.0 if len(y) and y.min() == 1 else -5.0
+        beta[0] = -5.0
         return beta
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
@@ -251,7 +251,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels are learned only from rows whose crc32 of the id is not divisible by 5: those with remainder 1 fit the
     regression, the others choose the features. Where rows of ``labels`` repeat an id, toxic wins. A null text counts as
     empty; an empty one gets the score of a text without hits. A row without an id is scored and never held out.
-    Without usable labels all scores are near 0. Rows that repeat are scored each.
+    Without usable labels of both classes all scores are near 0. Rows that repeat are scored each.
     """
     context = docs.sparkSession.sparkContext
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("l")).agg(F.max("toxic").cast("int").alias("toxic"))

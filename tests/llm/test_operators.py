@@ -262,7 +262,7 @@ def brute_top(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("scale", "shard"), [(1.0, 8192), (0.01, 16), (1e9, 8192)])
+@pytest.mark.parametrize(("scale", "shard"), [(1.0, 8192), (0.01, 16), (1e6, 8192)])
 def test_top_k(spark, monkeypatch, scale, shard):
     from cohesia.llm import topk
 
@@ -328,12 +328,12 @@ def test_decontamination_blocks_and_removal(spark, monkeypatch):
     passage = " ".join(f"w{i}" for i in range(14))
     items = spark.createDataFrame([(1, passage), (2, "solo phrase"), (None, "w0 w1"), (3, None)], "item_id long, text string")
     texts = [f"Before, {passage.upper()}.\nAfter the end", "keep this  text", f"{passage}", "a solo - phrase b", None, ""]
-    expected = ["Before,.\nAfter the end", "keep this  text", "", "a b", None, ""]
+    expected = ["Before, .\nAfter the end", "keep this  text", "", "a b", None, ""]
     reports = []
     for size in (1 << 20, 8):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
         cut = {r.doc_id: r for r in decontaminate.removed(docs_frame(spark, texts), items).collect()}
-        assert [re.sub(" +", " ", cut[i].text) if i != 1 and cut[i].text else cut[i].text for i in range(6)] == [x and x.replace("Before,.", "Before, .") if cut[0].text.startswith("Before, ") else x for x in expected]
+        assert [cut[i].text for i in range(6)] == expected
         assert [cut[i].n_chars for i in range(6)] == [None if cut[i].text is None else len(cut[i].text) for i in range(6)]
         reports.append(sorted(map(tuple, decontaminate.report(docs_frame(spark, texts), items).collect())))
     assert reports[0] == reports[1]
@@ -486,9 +486,10 @@ def test_quality_model(spark, monkeypatch):
 
     rng = random.Random(11)
     texts = ["".join(rng.choices("abcde é", k=rng.randint(1, 60))) for _ in range(40)] + ["zzzz!!!zz", "", None]
-    labels = labels_frame(spark, [(i, 1 if i % 2 else 0, 0) for i in range(30)])
-    one = {r.doc_id: r for r in quality.score_quality(docs_frame(spark, texts), labels).collect()}
     held = {r.i for r in spark.range(30).select(F.col("id").alias("i")).where(F.pmod(F.xxhash64("i"), F.lit(quality.HELD_OUT)) == 0).collect()}
+    assert held
+    labels = labels_frame(spark, [(i, 1 if i % 2 or i in held else 0, 0) for i in range(30)])
+    one = {r.doc_id: r for r in quality.score_quality(docs_frame(spark, texts), labels).collect()}
     p = brute_kneser_ney([texts[i].encode() for i in range(30) if i % 2 and i not in held], quality.ORDER)
     for i, t in enumerate(texts[:41]):
         padded = bytes(quality.ORDER - 1) + t.encode()
