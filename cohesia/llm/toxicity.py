@@ -40,7 +40,7 @@ _CHUNK = 1 << 22
 
 #: Lengths of word beginnings that are features; the least length of a word.
 PREFIXES, SHORTEST = (4, 5, 6), 3
-MIN_TOXIC, MIN_Z, MIN_ODDS = 3, 3.3, 2.5
+MIN_TOXIC, MIN_Z, MIN_ODDS = 3, 2.6, 2.5
 #: Documented bounds of the classifier: the most features, and the most labelled rows that the regression is fitted on.
 MAX_FEATURES, FIT_ROWS = 20_000, 200_000
 _FLUSH = 1_000_000
