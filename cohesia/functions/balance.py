@@ -50,6 +50,13 @@ def split_by_cost(supports: DataFrame, overhead: float = 0.3) -> DataFrame:
     return _first_level(_levels(supports), cost)
 
 
+def split_by_relative_cost(supports: DataFrame) -> DataFrame:
+    """As :func:`split_by_cost`, with the edges below l over those from l on as the factor."""
+    rest = F.col("edges") - F.col("below")
+    cost = F.when(rest > 0, (1 + F.col("below") / rest) * F.col("mass") >= F.col("total")).otherwise(True)
+    return _first_level(_levels(supports), cost)
+
+
 def equal_cost_batches(rows: DataFrame, place: str, cost: str, batch: int) -> DataFrame:
     """``(place, cost, batch)``: rows in the order of a dense number, a new batch for each ``batch`` of cost before."""
     sums = prefix_sums(rows.select(place, F.col(cost).alias("_size"), cost), place, "_size")

@@ -370,6 +370,14 @@ def truss_layers(spark, d):
     return truss.layers(part_graph(spark, d))
 
 
+@query(_T + """, n AS (SELECT trussness, count(*) AS edges FROM tr WHERE trussness > 2 GROUP BY 1),
+every AS (SELECT unnest(range(3, (SELECT max(trussness) FROM n) + 1))::INTEGER AS trussness),
+f AS (SELECT trussness, coalesce(edges, 0)::BIGINT AS edges FROM every LEFT JOIN n USING (trussness))
+SELECT trussness, edges, (sum(edges) OVER w - edges)::BIGINT AS "start", (sum(edges) OVER w)::BIGINT AS "end" FROM f WINDOW w AS (ORDER BY trussness)""")
+def truss_layers_with_empty(spark, d):
+    return truss.layers(part_graph(spark, d), with_empty=True)
+
+
 @query(_T + "SELECT trussness, count(*) AS edges FROM tr GROUP BY trussness")
 def truss_histogram(spark, d):
     return truss.trussness(part_graph(spark, d)).groupBy("trussness").agg(F.count("*").alias("edges"))
@@ -435,6 +443,18 @@ def level_split_cost_model(spark, d):
     return balance.split_by_cost(triangles.support(part_graph(spark, d)))
 
 
+@query(with_(G, TRI, SUP, _LEVELS) + "SELECT min(l)::BIGINT AS level FROM lv WHERE edges = below OR (1 + below / (edges - below)) * mass >= total")
+def level_split_relative_cost(spark, d):
+    return balance.split_by_relative_cost(triangles.support(part_graph(spark, d)))
+
+
+@query(_S + "SELECT l, count(*) FILTER (support < l) AS edges FROM s, (SELECT unnest([1, 2, 4, 8]) AS l) GROUP BY l")
+def edges_below_support(spark, d):
+    s = triangles.support(part_graph(spark, d))
+    counts = s.agg(*(F.count_if(F.col("support") < level).alias(str(level)) for level in (1, 2, 4, 8)))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(level).alias("l"), F.col(str(level)).alias("edges")) for level in (1, 2, 4, 8)))))
+
+
 @query(_D + "SELECT id, degree, (row_number() OVER (ORDER BY degree DESC, id) - 1) % 4 AS part FROM deg")
 def round_robin_partition(spark, d):
     ranked = canonical.dense_index(canonical.degrees(part_graph(spark, d)), F.desc("degree"), F.col("id"))
