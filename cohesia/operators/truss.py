@@ -124,7 +124,7 @@ def _by_h_index(g: Listed) -> DataFrame:
 
 
 def trussness_peel(edges: DataFrame, local_below: int = 0) -> DataFrame:
-    """The reference schedule: the level jumps to the least support, its edges die at once, and dead triangles lower the rest."""
+    """Level by level: the level jumps to the least support, its edges die at once, and dead triangles lower the rest."""
     g = Listed.of(edges)
     tri, counts = g.triangles, materialize(_counts(g.triangles), "counts")
     done, l, n = [], 0, g.n_triangles
