@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,7 +43,7 @@ PREFIXES, SHORTEST = (4, 5, 6), 3
 MIN_TOXIC, MIN_Z, MIN_ODDS = 3, 2.6, 2.5
 #: Documented bounds of the classifier: the most features, and the most labelled rows that the regression is fitted on.
 MAX_FEATURES, FIT_ROWS = 20_000, 200_000
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 BROADCAST_IDS = 4_000_000
 
 
@@ -128,11 +128,24 @@ class Restorer:
 
 
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¿¡«»„“”‘’…–—"
-_TRAIL = _EDGES.replace("@", "").replace("$", "").replace("!", "").replace("|", "").replace("+", "").replace("(", "")
+_TRAIL = _EDGES.translate(dict.fromkeys(map(ord, "@$!|+(")))
 _LETTERS = re.compile(r"[^\W\d_]+")
-_THRICE = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+_THRICE = re.compile(r"([^\W\d_])\1\1")
 _SPACED_OUT = re.compile(r"(?<!\S)[\w@$!|+](?: [\w@$!|+]){2,}(?!\S)")
 _MASKED = re.compile(r"[\w@$!|+(€£]+(?:[.\-_*~'][\w@$!|+(€£]+)*")
+#: Characters of a text that are split at a time, and tokens that a task remembers.
+_BLOCK, _REMEMBERED = 1 << 20, 300_000
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """The lower-cased text in pieces that end at white space."""
+    start = 0
+    while start < len(text):
+        end = start + _BLOCK
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[start:end].lower()
+        start = end
 
 
 def _hidden(token: str) -> bool:
@@ -140,36 +153,55 @@ def _hidden(token: str) -> bool:
     return len(token) <= LONGEST and any(c.isalpha() for c in token) and _MASKED.fullmatch(token) is not None
 
 
-def restored_words(text: str, restorer: Restorer) -> Iterator[str]:
-    """The words of the restored text, lower-case: plain words as they are, and for hidden ones also what stands behind them."""
-    low = text.lower()
-    for raw in low.split():
-        token = raw.strip(_EDGES)
-        if token.isalpha():
-            yield token
-            if token != raw and _hidden(edged := raw.strip(_TRAIL)) and edged != token:
-                yield restorer.restore(edged)
-        elif token:
-            yield from _LETTERS.findall(token)
-            edged = raw.strip(_TRAIL)
-            for form in {token, edged}:
-                if _hidden(form):
-                    yield restorer.restore(form)
-    for m in _THRICE.finditer(low):
-        if len(m[0]) <= LONGEST:
-            yield restorer.restore(m[0])
-    for m in _SPACED_OUT.finditer(low):
+def token_words(raw: str, restorer: Restorer) -> list[str]:
+    """The words of a token between white space: plain words as they are, and for hidden ones also what stands behind them."""
+    plain = raw.rstrip(".,")
+    if plain.isalpha() and not _THRICE.search(plain):
+        return [plain]
+    token, edged = raw.strip(_EDGES), raw.strip(_TRAIL)
+    words = [token] if token.isalpha() else _LETTERS.findall(token)
+    forms = {edged} if token.isalpha() and edged != token else {token, edged} if token and not token.isalpha() else ()
+    found = [restorer.restore(f) for f in sorted(forms) if _hidden(f)]
+    found += [restorer.restore(w) for w in words if len(w) <= LONGEST and _THRICE.search(w)]
+    return words + found
+
+
+def _spaced_words(block: str, restorer: Restorer) -> Iterator[str]:
+    """Words behind runs of single characters."""
+    for m in _SPACED_OUT.finditer(block):
         for at in range(0, len(m[0]), LONGEST):
             yield restorer.restore(m[0][at : at + LONGEST])
 
 
+def restored_words(text: str, restorer: Restorer) -> Iterator[str]:
+    """The words of the restored text, lower-case."""
+    for block in _blocks(text):
+        for raw in block.split():
+            yield from token_words(raw, restorer)
+        yield from _spaced_words(block, restorer)
+
+
 def features(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in PREFIXES if len(word) >= n)] if len(word) >= SHORTEST else []
 
 
+class _TokenFeatures(dict):
+    """Features of a token's words, remembered."""
+
+    def __init__(self, restorer: Restorer):
+        self.restorer = restorer
+
+    def __missing__(self, raw: str) -> tuple[str, ...]:
+        if len(self) >= _REMEMBERED // 4:  # these entries are the larger ones
+            self.clear()
+        found = self[raw] = tuple({f for w in token_words(raw, self.restorer) for f in features(w)})
+        return found
+
+
 def _count_features(restorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
+        known = _TokenFeatures(restorer.value)
 
         def out() -> pa.RecordBatch:
             keys = list(toxic.keys() | clean.keys())
@@ -180,8 +212,11 @@ def _count_features(restorer):
 
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = set(restored_words(text.as_py() or "", restorer.value))
-                (toxic if label else clean).update({f for w in words for f in features(w)})
+                mine = set()
+                for block in _blocks(text.as_py() or ""):
+                    mine.update(*map(known.__getitem__, set(block.split())))
+                    mine.update(f for w in _spaced_words(block, restorer.value) for f in features(w))
+                (toxic if label else clean).update(mine)
                 if len(toxic) + len(clean) >= _FLUSH:
                     yield out()
         yield out()
@@ -194,25 +229,53 @@ class Lexicon:
         self.weights = weights
         self.heads = {f.rstrip("~")[:4] for f in weights}
 
-    def hits(self, words: Iterator[str]) -> tuple[int, int, int, float]:
-        """Number of words, of words that hit, of different features hit, and the sum of the latter's weights."""
-        n = hit = 0
-        found: dict[str, float] = {}
-        for word in words:
-            n += 1
-            if word[:4] in self.heads and len(word) >= SHORTEST:
-                best = max((f for f in features(word) if f in self.weights), key=self.weights.get, default=None)
-                if best is not None:
-                    hit += 1
-                    found[best] = self.weights[best]
-        return n, hit, len(found), sum(found.values())
+    def best(self, words: Iterable[str]) -> str | None:
+        """The weightiest feature of ``words``."""
+        near = [w for w in words if w[:4] in self.heads and len(w) >= SHORTEST]
+        return max((f for w in near for f in features(w) if f in self.weights), key=self.weights.get, default=None) if near else None
+
+
+class Reader(dict):
+    """What each token means for the score, remembered: 0 no word, 1 words without a hit, -1 a single character, else 2 + the place of its feature."""
+
+    def __init__(self, restorer: Restorer, lexicon: Lexicon):
+        self.restorer, self.lexicon = restorer, lexicon
+        self.places: dict[str, int] = {}
+
+    def _place(self, feature: str) -> int:
+        return 2 + self.places.setdefault(feature, len(self.places))
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        words = token_words(raw, self.restorer)
+        best = self.lexicon.best(words)
+        code = self._place(best) if best is not None else -1 if len(raw) == 1 and not raw.isspace() else int(bool(words))
+        self[raw] = code
+        return code
+
+    def hits(self, text: str) -> tuple[int, int, int, float]:
+        """Number of tokens with words, of those that hit, of different features hit, and the sum of the latter's weights."""
+        n, found = 0, []
+        for block in _blocks(text):
+            tokens = block.split()
+            codes = np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+            n += int(np.count_nonzero(codes))
+            found += codes[codes > 1].tolist()
+            single = codes == -1
+            if len(codes) > 2 and (single[:-2] & single[1:-1] & single[2:]).any():
+                bests = (self.lexicon.best([w]) for w in _spaced_words(block, self.restorer))
+                found += [self._place(b) for b in bests if b is not None]
+        names = list(self.places)
+        kinds = {names[c - 2] for c in found}
+        return n, len(found), len(kinds), sum(map(self.lexicon.weights.get, sorted(kinds)))
 
 
 def _measure(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, lexicon = shared.value
+        reader = Reader(*shared.value)
         for batch in batches:
-            rows = [lexicon.hits(restored_words(x.as_py() or "", restorer)) for x in batch.column(1)]
+            rows = [reader.hits(x.as_py() or "") for x in batch.column(1)]
             columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(4)]
             yield pa.record_batch([batch.column(0), *columns, batch.column(2), batch.column(3)], _MEASURED)
 
