@@ -7,6 +7,7 @@ import time
 from pyspark.sql import SparkSession
 
 from cohesia.plans import catalogue
+from cohesia.runtime import importable
 
 HEADLINE = ("canonical_edges", "oriented_edges", "triangle_count", "edge_support", "trussness", "trussness_h_index", "ktruss_4", "truss_layers", "support_after_removal", "neighbour_intersection_masks")
 
@@ -23,6 +24,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    importable(spark)
     catalogue.QUERIES["edge_support"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # compile
     took = {}
     for name in HEADLINE:

@@ -8,10 +8,12 @@ missing partition, and the next round's plan starts from a plain scan.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,17 @@ def work_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cohesia_work"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did.
+
+    That serves local mode and clusters that share the folder; elsewhere the package goes by ``--py-files``.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
