@@ -37,7 +37,8 @@ def line_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def segments(lines: DataFrame, min_words: int) -> DataFrame:
     """Maximal runs of lines that each occur again, with ``min_words`` in all: adds seg, first, end (exclusive), upto and total words."""
-    often = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    # as a table of its own, so that the join reads two plain shuffles and a frequent line's rows can be split
+    often = materialize(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "often")
     rows = lines.join(often, ["a", "b"])
     rows = rows.withColumn("seg", F.col("pos") - F.row_number().over(W.partitionBy(*_DOC).orderBy("pos")))
     seg = W.partitionBy(*_DOC, "seg")
@@ -115,7 +116,7 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         runs = runs.unionByName(more)
     interval = ["m", "ra", "rb"]
     place = F.struct(*_DOC, "start")
-    shared = runs.groupBy(*interval).agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1")
+    shared = materialize(runs.groupBy(*interval).agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1"), "intervals")
     later = runs.join(shared, interval).where(place != F.col("least"))
     return later.select(*_DOC, "start", (F.col("start") + F.col("m")).alias("end"))
 
