@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from cohesia.llm.components import connected_components
+from cohesia.llm.similar import similar_links
 from cohesia.llm.text import LOWER, byte_rows, word_blocks
 from cohesia.runtime import materialize, release
 
@@ -103,19 +104,25 @@ def links(distinct: DataFrame, max_list: int = 64) -> DataFrame:
     return out
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, similar_shingle: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, fingerprint, component_id, keeper.
 
     fingerprint is in 16 lower-case hex digits. component_id is the least doc_id that links reach. keeper is true for
     one row key (doc_id, text_hash) of each class: the least. A null or empty text has fingerprint zero and links
     like any other. A row without doc_id counts in its class but never names it: component_id is null where no
     row of the class has an id; keeper is then true. Rows repeating an id are judged each by its own text. An
-    empty table gives an empty result. Other columns are not read.
+    empty table gives an empty result. Other columns are not read. With ``similarity``, texts whose sets of distinct
+    runs of ``similar_shingle`` words have at least that Jaccard similarity link too, whatever their fingerprints.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fp")
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
     distinct = materialize(prints.groupBy("fp").agg(F.min(named).alias("first")), "fps")
-    labels = connected_components(links(distinct.select("fp")))
+    linked = links(distinct.select("fp"))
+    if similarity is not None:
+        names = materialize(prints.select(F.col("text_hash").alias("h"), F.col("fp").alias("node")).distinct(), "names")
+        texts = docs.select(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
+        linked = linked.unionByName(similar_links(texts, names, linked, similar_shingle, similarity))
+    labels = connected_components(linked)
     labelled = distinct.join(labels, distinct.fp == labels.node, "left").select(
         "fp", "first", F.coalesce("label", "fp").alias("label")
     )
@@ -131,12 +138,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate class, all columns as they are.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, similar_shingle: int = 5) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class (see :func:`classes`), all columns as they are.
 
     The row with the least (doc_id, hash of the text) stays; of rows that repeat both, one. Rows without an id stay.
     """
-    found = materialize(classes(docs, id_col, text_col).where("keeper and doc_id is not null").select("doc_id", "text_hash"), "keep")
+    found = materialize(classes(docs, id_col, text_col, similarity, similar_shingle).where("keeper and doc_id is not null").select("doc_id", "text_hash"), "keep")
     repeats = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
     keys = found.distinct().select(F.col("doc_id").alias("_k1"), F.col("text_hash").alias("_k2")).hint("shuffle_hash")
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_i"), F.xxhash64(F.col(text_col)).alias("_h"))

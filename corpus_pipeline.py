@@ -23,8 +23,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays."""
-    return near_dedup(docs)
+    """One document stays of those that SimHash links, or a similarity of 0.8 between their sets of runs of five words."""
+    return near_dedup(docs, similarity=0.8, similar_shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

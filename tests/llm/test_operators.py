@@ -119,6 +119,44 @@ def test_links_of_dense_fingerprints(spark, max_list):
     assert {p: labels.get(p, p) for p in signed} == expected
 
 
+@pytest.mark.parametrize("common", [64, 3])
+def test_near_dedup_by_shingle_similarity(spark, monkeypatch, common):
+    """Against all pairs: near copies of several sizes, a passage that many texts share, exact copies, texts of a few words."""
+    from cohesia.llm import similar, simhash
+
+    monkeypatch.setattr(similar, "COMMON", common)
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = ["", "one two", "One  two", "one two three"]
+    for i in range(6):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(2000)}" for _ in range(rng.choice((25, 60, 300)))]
+        texts.append(" ".join(base))
+        for n in (1, 1, 2, 3, 5, 8, 12):
+            copy = list(base)
+            for _ in range(n):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += [f"{passage} {' '.join(f'q{i}w{k}' for k in range(n))}" for i in range(12) for n in (5, 40)] + texts[5:9]
+
+    def grams(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+    prints, sets = [brute_simhash(t) for t in texts], [grams(t) for t in texts]
+    label = list(range(len(texts)))
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2)]
+    similar_pairs = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0]
+    far = [(a, b) for a, b in similar_pairs if (prints[a] ^ prints[b]).bit_count() > 2]
+    assert len(far) > 10
+    for a, b in [*similar_pairs, *(p for p in pairs if (prints[p[0]] ^ prints[p[1]]).bit_count() <= 2)]:
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    docs = docs_frame(spark, texts)
+    found = {r.doc_id: r.component_id for r in simhash.classes(docs, similarity=0.8).collect()}
+    assert found == dict(enumerate(label))
+    assert {r.doc_id for r in simhash.near_dedup(docs, similarity=0.8).collect()} == set(label)
+    assert len(set(label)) < simhash.near_dedup(docs).count()
+
+
 def test_components_of_chains_and_stars(spark):
     from cohesia.llm.components import connected_components
 
