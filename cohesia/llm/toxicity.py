@@ -25,10 +25,12 @@ from cohesia.runtime import materialize
 #: What look-alike characters may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = " .-_*~'"
-#: Log-probabilities of the channel: a look-alike for its letter, a separator put in, a letter repeated, a character meant as it stands.
-_SWAPPED, _SPACED, _REPEATED, _LITERAL = -1.0, -0.5, -0.7, -0.1
+#: Log-probabilities of the channel: a look-alike for its letter, a separator put in, a letter repeated, a character meant as it stands,
+#: a blank in a run of single characters that ends a word.
+_SWAPPED, _SPACED, _REPEATED, _LITERAL, _ENDED = -1.0, -0.5, -0.7, -0.1, -0.5
 _LITERAL_SYMBOL = -9.0
-LONGEST = 40
+#: The longest token whose reading is remembered; longer ones are read again each time.
+LONGEST = 64
 
 #: The classes of bytes that the language model counts: 0 for what stands between words, letters, digits, bytes of other letters.
 SYMBOLS = 156
@@ -89,7 +91,7 @@ class Restorer:
 
     def __init__(self, logp: np.ndarray):
         self.logp = logp
-        self.restore = lru_cache(1 << 17)(self._restore)
+        self._short = lru_cache(1 << 17)(self._restore)
 
     def __reduce__(self):
         return Restorer, (self.logp,)
@@ -102,15 +104,20 @@ class Restorer:
             a, b = b, c
         return total, (a, b)
 
-    def _restore(self, token: str) -> str:
-        """The likeliest word behind ``token``."""
-        beam: dict[tuple, tuple[float, str]] = {((0, 0), ""): (0.0, "")}
+    def restore(self, token: str, words: bool = False) -> str:
+        """The likeliest word behind ``token``; with ``words``, the likeliest words, with blanks between them."""
+        return (self._short if len(token) <= LONGEST else self._restore)(token, words)
+
+    def _restore(self, token: str, words: bool) -> str:
+        beam: dict[tuple, tuple[float, tuple]] = {((0, 0), ""): (0.0, ())}
         for char in token:
-            grown: dict[tuple, tuple[float, str]] = {}
+            grown: dict[tuple, tuple[float, tuple]] = {}
             for (state, last), (score, out) in beam.items():
                 choices = []
                 if char in SEPARATORS:
                     choices.append((_SPACED, ""))
+                if words and char == " " and last != " ":
+                    choices.append((_ENDED, " "))
                 if char == last:
                     choices.append((_REPEATED, ""))
                 if char.isalpha():
@@ -122,27 +129,34 @@ class Restorer:
                     gain, after = self._step(state, letter) if letter else (0.0, state)
                     key = (after, letter or last)
                     if key not in grown or grown[key][0] < score + cost + gain:
-                        grown[key] = (score + cost + gain, out + letter)
+                        grown[key] = (score + cost + gain, (out, letter) if letter else out)
             beam = grown
-        return max(((s + self._step(state, " ")[0], out) for (state, _), (s, out) in beam.items()), default=(0.0, token))[1]
+        if not beam:
+            return token
+        out, letters = max(((s + self._step(state, " ")[0], out) for (state, _), (s, out) in beam.items()), key=lambda x: x[0])[1], []
+        while out:
+            out, letter = out
+            letters.append(letter)
+        return "".join(reversed(letters))
 
 
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¿¡«»„“”‘’…–—"
 _TRAIL = _EDGES.translate(dict.fromkeys(map(ord, "@$!|+(")))
 _LETTERS = re.compile(r"[^\W\d_]+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
-_SPACED_OUT = re.compile(r"(?<!\S)[\w@$!|+](?: [\w@$!|+]){2,}(?!\S)")
+_SPACED_OUT = re.compile(r"(?<!\S)[\w@$!|+(€£¡](?:\s+[\w@$!|+(€£¡]){2,}(?!\S)")
 _MASKED = re.compile(r"[\w@$!|+(€£]+(?:[.\-_*~'][\w@$!|+(€£]+)*")
+_BLANKS = re.compile(r"\s+")
 #: Characters of a text that are split at a time, and tokens that a task remembers.
 _BLOCK, _REMEMBERED = 1 << 20, 300_000
 
 
 def _blocks(text: str) -> Iterator[str]:
-    """The lower-cased text in pieces that end at white space."""
+    """The lower-cased text in pieces that end after a token of two characters or more, so in no run of single ones."""
     start = 0
     while start < len(text):
         end = start + _BLOCK
-        while end < len(text) and not text[end].isspace():
+        while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace() and not text[max(end - 2, 0)].isspace()):
             end += 1
         yield text[start:end].lower()
         start = end
@@ -150,7 +164,7 @@ def _blocks(text: str) -> Iterator[str]:
 
 def _hidden(token: str) -> bool:
     """Whether a token that isn't all letters may be a hidden word: letters with look-alikes or separators among them."""
-    return len(token) <= LONGEST and any(c.isalpha() for c in token) and _MASKED.fullmatch(token) is not None
+    return len(token) <= 40 and any(c.isalpha() for c in token) and _MASKED.fullmatch(token) is not None
 
 
 def token_words(raw: str, restorer: Restorer) -> list[str]:
@@ -162,15 +176,19 @@ def token_words(raw: str, restorer: Restorer) -> list[str]:
     words = [token] if token.isalpha() else _LETTERS.findall(token)
     forms = {edged} if token.isalpha() and edged != token else {token, edged} if token and not token.isalpha() else ()
     found = [restorer.restore(f) for f in sorted(forms) if _hidden(f)]
-    found += [restorer.restore(w) for w in words if len(w) <= LONGEST and _THRICE.search(w)]
+    found += [restorer.restore(w) for w in words if len(w) <= 40 and _THRICE.search(w)]
     return words + found
 
 
 def _spaced_words(block: str, restorer: Restorer) -> Iterator[str]:
-    """Words behind runs of single characters."""
+    """Words behind runs of single characters: as the model divides a run, and a run as one word, also without a single character at its ends."""
     for m in _SPACED_OUT.finditer(block):
-        for at in range(0, len(m[0]), LONGEST):
-            yield restorer.restore(m[0][at : at + LONGEST])
+        run = _BLANKS.sub(" ", m[0])
+        found = restorer.restore(run, True).split(" ")
+        for part in (run, run[2:], run[:-2], run[2:-2]):
+            if len(part) <= 2 * LONGEST:
+                found.append(restorer.restore(part))
+        yield from dict.fromkeys(found)
 
 
 def restored_words(text: str, restorer: Restorer) -> Iterator[str]:

@@ -620,6 +620,33 @@ def test_toxicity_learns_from_its_folds_only(spark):
     assert again == {i: r.score for i, r in found.items()}
 
 
+INSULTS = "you are such a loser and i think the idiot is stupid , a moron or pathetic trash . look at a loser , you stupid idiot "
+
+
+def test_restoring_runs_of_single_characters(spark, monkeypatch):
+    """Hidden words next to one-letter words, in long runs, with any blanks, and across a block's end."""
+    from cohesia.llm import toxicity as t
+
+    restorer = t.Restorer(t.language_model(docs_frame(spark, [INSULTS * 20]), "text"))
+
+    def words(text):
+        return set(t.restored_words(text, restorer))
+
+    for text, hidden in {
+        "such a l o s e r": "loser",
+        "y o u s t u p i d": "stupid",
+        "l  o  s  e  r": "loser",
+        "l\to\ts\te\tr": "loser",
+        "i\nd i\n\no t": "idiot",
+        "l o s e r a": "loser",
+        "y o u a r e s u c h a l o s e r a n d i t h i n k t h e i d i o t i s s t u p i d": "idiot",
+        " ".join("youaresuchaloserandithinktheidiotisstupid" * 30 + "moron"): "moron",
+    }.items():
+        assert hidden in words(text), text
+    monkeypatch.setattr(t, "_BLOCK", 7)
+    assert "stupid" in words("well now s t u p i d") and list(t._blocks("ab c d ef gh ij kl")) == ["ab c d ef", " gh ij kl"]
+
+
 # awkward tables
 
 
