@@ -109,6 +109,7 @@ class Restorer:
         return (self._short if len(token) <= LONGEST else self._restore)(token, words)
 
     def _restore(self, token: str, words: bool) -> str:
+        literal_symbol = _LITERAL if token.isdigit() else _LITERAL_SYMBOL  # digits alone are a number unless the model prefers a word
         beam: dict[tuple, tuple[float, tuple]] = {((0, 0), ""): (0.0, ())}
         for char in token:
             grown: dict[tuple, tuple[float, tuple]] = {}
@@ -123,7 +124,7 @@ class Restorer:
                 if char.isalpha():
                     choices.append((_LITERAL, char))
                 elif char not in SEPARATORS:
-                    choices.append((_LITERAL_SYMBOL, char))
+                    choices.append((literal_symbol, char))
                 choices += [(_SWAPPED, letter) for letter in LOOKALIKES.get(char, "")]
                 for cost, letter in choices:
                     gain, after = self._step(state, letter) if letter else (0.0, state)
@@ -143,10 +144,12 @@ class Restorer:
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¿¡«»„“”‘’…–—"
 _TRAIL = _EDGES.translate(dict.fromkeys(map(ord, "@$!|+(")))
 _LETTERS = re.compile(r"[^\W\d_]+")
-_THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _SPACED_OUT = re.compile(r"(?<!\S)[\w@$!|+(€£¡](?:\s+[\w@$!|+(€£¡]){2,}(?!\S)")
-_MASKED = re.compile(r"[\w@$!|+(€£]+(?:[.\-_*~'][\w@$!|+(€£]+)*")
-_BLANKS = re.compile(r"\s+")
+_MASKED = re.compile(r"[\w@$!|+(€£¡]+(?:[.\-_*~']+[\w@$!|+(€£¡]+)*")
+#: Long repeats say no more than short ones: of a character three stay, of separators one.
+_REPEATS, _GAPS, _BLANKS = re.compile(r"(.)\1{3,}", re.DOTALL), re.compile(r"([.\-_*~'])[.\-_*~']+"), re.compile(r"\s+")
+_SAME = re.compile("([" + re.escape("".join(LOOKALIKES)) + r"])\1+")
 #: Characters of a text that are split at a time, and tokens that a task remembers.
 _BLOCK, _REMEMBERED = 1 << 20, 300_000
 
@@ -163,21 +166,27 @@ def _blocks(text: str) -> Iterator[str]:
 
 
 def _hidden(token: str) -> bool:
-    """Whether a token that isn't all letters may be a hidden word: letters with look-alikes or separators among them."""
-    return len(token) <= 40 and any(c.isalpha() for c in token) and _MASKED.fullmatch(token) is not None
+    """Whether a token that isn't all letters may be a hidden word: letters or look-alikes, with separators among them."""
+    return any(c.isalpha() or c in LOOKALIKES for c in token) and _MASKED.fullmatch(token) is not None
+
+
+def _collapsed(token: str) -> set[str]:
+    """The token with long repeats shortened, and also with one of each look-alike that repeats."""
+    short = _GAPS.sub(r"\1", _REPEATS.sub(r"\1\1\1", token))
+    return {short, _SAME.sub(r"\1", short)}
 
 
 def token_words(raw: str, restorer: Restorer) -> list[str]:
     """The words of a token between white space: plain words as they are, and for hidden ones also what stands behind them."""
     plain = raw.rstrip(".,")
-    if plain.isalpha() and not _THRICE.search(plain):
+    if plain.isalpha() and not _TWICE.search(plain):
         return [plain]
     token, edged = raw.strip(_EDGES), raw.strip(_TRAIL)
     words = [token] if token.isalpha() else _LETTERS.findall(token)
-    forms = {edged} if token.isalpha() and edged != token else {token, edged} if token and not token.isalpha() else ()
-    found = [restorer.restore(f) for f in sorted(forms) if _hidden(f)]
-    found += [restorer.restore(w) for w in words if len(w) <= 40 and _THRICE.search(w)]
-    return words + found
+    forms = {f for f in (token, edged) if f and not f.isalpha()}
+    found = [restorer.restore(f) for f in sorted({c for f in forms if _hidden(f) for c in _collapsed(f)})]
+    found += [restorer.restore(c) for w in words if _TWICE.search(w) for c in _collapsed(w)]
+    return words + [w for w in dict.fromkeys(found) if w not in words and any(c.isalpha() for c in w)]
 
 
 def _spaced_words(block: str, restorer: Restorer) -> Iterator[str]:

@@ -647,6 +647,17 @@ def test_restoring_runs_of_single_characters(spark, monkeypatch):
     assert "stupid" in words("well now s t u p i d") and list(t._blocks("ab c d ef gh ij kl")) == ["ab c d ef", " gh ij kl"]
 
 
+def test_no_token_escapes_the_decoder(spark):
+    from cohesia.llm import toxicity as t
+
+    text = INSULTS + "he is an ass in the grass , as an ass was in 2019 , 1984 and 2001 "
+    restorer = t.Restorer(t.language_model(docs_frame(spark, [text * 20]), "text"))
+    for hidden, word in {"stuupiid": "stupid", "i--d--i--o--t": "idiot", "l._o._s~~e..r": "loser", "lo" + "o" * 60 + "ser": "loser", "l" + "-" * 50 + "oser": "loser", "m0r" + "0" * 50 + "n": "moron"}.items():
+        assert word in set(t.restored_words(hidden, restorer)), hidden
+    assert t.token_words("@$$", restorer) and set("".join(t.token_words("@$$", restorer))) <= set("as")
+    assert t.token_words("2019", restorer) == []
+
+
 # awkward tables
 
 
