@@ -43,8 +43,10 @@ _CHUNK = 1 << 22
 #: Lengths of word beginnings that are features; the least length of a word.
 PREFIXES, SHORTEST = (4, 5, 6), 3
 MIN_TOXIC, MIN_Z, MIN_ODDS = 3, 2.6, 2.5
-#: Documented bounds of the classifier: the most features, and the most labelled rows that the regression is fitted on.
-MAX_FEATURES, FIT_ROWS = 20_000, 200_000
+#: Documented bound of the classifier: the most labelled rows that the regression is fitted on.
+FIT_ROWS = 200_000
+#: The most features that are broadcast (some 150 bytes each in a task); more are joined by shuffle.
+BROADCAST_FEATURES = 200_000
 _FLUSH = 500_000
 BROADCAST_IDS = 4_000_000
 
@@ -259,7 +261,7 @@ class Lexicon:
     def best(self, words: Iterable[str]) -> str | None:
         """The weightiest feature of ``words``."""
         near = [w for w in words if w[:4] in self.heads and len(w) >= SHORTEST]
-        return max((f for w in near for f in features(w) if f in self.weights), key=self.weights.get, default=None) if near else None
+        return max((f for w in near for f in features(w) if f in self.weights), key=lambda f: (self.weights[f], f), default=None) if near else None
 
 
 class Reader(dict):
@@ -309,6 +311,50 @@ def _measure(shared):
     return run
 
 
+def _emit(shared):
+    """Each text's distinct tokens and words of spaced runs, with how often they occur and their features; under token -1 the number of tokens with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = shared.value
+        known = _TokenFeatures(restorer)
+        held: list[tuple[int, int, int, str | None]] = []
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            held.clear()
+            return pa.record_batch(columns, ["row", "token", "c", "feature"])
+
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens, spaced = Counter(), Counter()
+                for block in _blocks(text.as_py() or ""):
+                    tokens.update(block.split())
+                    spaced.update(_spaced_words(block, restorer))
+                at = 0
+                for found, c in [*((known[t], c) for t, c in tokens.items()), *((features(w), c) for w, c in spaced.items())]:
+                    held += [(row, at, c, f) for f in found]
+                    at += 1
+                    if len(held) >= _FLUSH:
+                        yield out()
+                n = sum(c for t, c in tokens.items() if known[t] or len(t) == 1 or token_words(t, restorer))
+                held.append((row, -1, n, None))
+            if held:
+                yield out()
+
+    return run
+
+
+def _joined_measures(rows: DataFrame, chosen: DataFrame, shared) -> DataFrame:
+    """As :func:`_measure`, where the features are too many to broadcast: by a shuffle join."""
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    emitted = materialize(rows.select("row", "text").mapInArrow(_emit(shared), "row long, token long, c long, feature string"), "tokens")
+    best = emitted.where("token >= 0").join(chosen.select("feature", "odds"), "feature").groupBy("row", "token").agg(F.max(F.struct("odds", "feature")).alias("best"), F.first("c").alias("c"))
+    kinds = best.groupBy("row", "best").agg(F.sum("c").alias("c"))
+    hits = kinds.groupBy("row").agg(F.sum("c").alias("hit"), F.count("*").alias("kinds"), F.sum("best.odds").alias("weight"))
+    found = rows.drop("text").join(emitted.where("token = -1").select("row", F.col("c").alias("n")), "row").join(hits, "row", "left")
+    return found.select("key", F.col("n").cast("double"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("hit", "kinds", "weight")), "toxic", "fold")
+
+
 _MEASURED = ["key", "n", "hit", "kinds", "weight", "toxic", "fold"]
 
 
@@ -361,11 +407,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     odds = F.log((F.col("a") + half) / (F.greatest(n_toxic - F.col("a"), F.lit(0)) + half)) - F.log((F.col("b") + half) / (F.greatest(n_all - n_toxic - F.col("b"), F.lit(0)) + half))
     z = odds / F.sqrt(1 / (F.col("a") + half) + 1 / (F.col("b") + half))
     chosen = counts.where(F.col("a") >= MIN_TOXIC).select("feature", odds.alias("odds"), z.alias("z")).where((F.col("odds") >= MIN_ODDS) & (F.col("z") >= MIN_Z))
-    lexicon = Lexicon({r.feature: r.odds for r in chosen.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()})
+    chosen = materialize(chosen, "features")
 
-    both = context.broadcast((restorer, lexicon))
     measured = rows.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), "text", "toxic", "fold")
-    measured = materialize(measured.mapInArrow(_measure(both), "key struct<doc_id: long, text_hash: long>, n double, hit double, kinds double, weight double, toxic int, fold int"), "toxicity")
+    if chosen.count() <= BROADCAST_FEATURES:
+        lexicon = Lexicon({r.feature: r.odds for r in chosen.collect()})
+        both = context.broadcast((restorer, lexicon))
+        measured = measured.mapInArrow(_measure(both), "key struct<doc_id: long, text_hash: long>, n double, hit double, kinds double, weight double, toxic int, fold int")
+    else:
+        measured = _joined_measures(measured, chosen, shared)
+    measured = materialize(measured, "toxicity")
     fit = measured.where("toxic is not null and fold = 1")
     share = FIT_ROWS / max(fit.count(), 1)
     if share < 1:

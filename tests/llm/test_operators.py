@@ -658,6 +658,28 @@ def test_no_token_escapes_the_decoder(spark):
     assert t.token_words("2019", restorer) == []
 
 
+def test_features_beyond_the_broadcast(spark, monkeypatch):
+    """More features than are broadcast: the same scores by a join, and none is dropped."""
+    from cohesia.llm import toxicity as t
+
+    assert not hasattr(t, "MAX_FEATURES")
+    rng = random.Random(14)
+    texts = [" ".join(rng.choices(["mild", "calm", "quiet", "gentle", "warm", "12", "l-e-t"], k=20)) for _ in range(200)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(200)]
+    texts = [f"{x} grubnak gr0bnak z o r p t l e" if i % 3 == 0 else x for i, x in enumerate(texts)]
+    docs = docs_frame(spark, [*texts, None, "", "g r u b n a k and zoorptle"])
+
+    def scores():
+        return {r.doc_id: (r.score, r.predicted) for r in t.score_toxicity(docs, labels_frame(spark, labels)).collect()}
+
+    want = scores()
+    monkeypatch.setattr(t, "BROADCAST_FEATURES", 0)
+    found = scores()
+    assert sum(p for _, p in want.values()) >= 60
+    assert {k: p for k, (_, p) in found.items()} == {k: p for k, (_, p) in want.items()}
+    assert all(found[k][0] == pytest.approx(want[k][0], abs=1e-9) for k in want)
+
+
 # awkward tables
 
 
