@@ -12,6 +12,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 from functools import cache
 from pathlib import Path
 
@@ -29,15 +31,18 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     The session's ``spark.checkpoint.dir`` where it is set. Otherwise, in local
-    mode, a temporary folder of this process; on a cluster the warehouse, which
-    executors share.
+    mode, a temporary folder of this process; on a cluster the warehouse, if it
+    is in a store that executors share. A warehouse in a local folder is refused.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         return _local_dir()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cohesia_work"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if ":" not in warehouse or warehouse.startswith("file:"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {warehouse} is a local one")
+    return warehouse + "/_cohesia_work"
 
 
 def importable(spark: SparkSession) -> None:
@@ -55,6 +60,8 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cohesia_path = path
     return out
@@ -65,9 +72,32 @@ def release(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "_cohesia_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
+#: The tables of the innermost :func:`settled` call.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str = "result") -> DataFrame:
+    """The result of ``make``, written; every table that was materialised on the way is deleted then, also where it fails."""
+    tables: list[str] = []
+    token = _SCOPE.set(tables)
+    try:
+        df = make()
+        _SCOPE.reset(token)
+        token = None
+        return materialize(df, tag)
+    finally:
+        if token is not None:
+            _SCOPE.reset(token)
+        for path in tables:
+            _delete(spark, path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
