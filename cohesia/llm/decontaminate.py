@@ -8,44 +8,54 @@ suffix positions and the spans they cover are merged.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohesia.llm.fmindex import FMIndex
 from cohesia.llm.text import LOWER_WORDS, byte_rows, word_blocks
+from cohesia.runtime import materialize, release
 
 WINDOW = 10
-#: Words of documents in one shard, and bytes of items whose windows are broadcast at a time.
-SHARD_WORDS, BLOCK_BYTES = 1 << 20, 16 << 20
+#: Words of documents in one shard.
+SHARD_WORDS = 1 << 20
+#: Memory of the items that are broadcast at a time, at ``WORD_BYTES`` a word and its own bytes; windows in one piece of an item.
+BLOCK_BYTES, WORD_BYTES, PIECE = 64 << 20, 200, 1 << 14
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Windows:
     """The windows of a block of items: distinct phrases by length, and for each phrase the items that have it."""
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]]):
+    def __init__(self, pieces: Iterable[tuple[int | None, list[bytes]]]):
         self.vocabulary: dict[bytes, int] = {}
-        phrases: dict[tuple[int, ...], set[str]] = {}
-        for item, data in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for ws in word_blocks(data or b"", LOWER_WORDS) for w in ws]
-            for at in range(max(len(ids) - WINDOW + 1, min(1, len(ids)))):
-                found = phrases.setdefault(tuple(ids[at : at + WINDOW]), set())
-                if item is not None:
-                    found.add(str(item))
-        self.by_length: dict[int, tuple[np.ndarray, list[frozenset[str]]]] = {}
-        for n in sorted({len(p) for p in phrases}):
-            mine = [p for p in phrases if len(p) == n]
-            self.by_length[n] = (np.array(mine, np.int64), [frozenset(phrases[p]) for p in mine])
+        self.items: list[str] = []
+        numbers: dict[int | None, int] = {None: -1}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for item, words in pieces:
+            if item not in numbers:
+                numbers[item] = len(self.items)
+                self.items.append(str(item))
+            if words:
+                ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
+                windows = np.lib.stride_tricks.sliding_window_view(ids, min(WINDOW, len(ids)))
+                found.setdefault(windows.shape[1], []).append((windows, np.full(len(windows), numbers[item])))
+        #: by length: phrases, where the items of each begin in the last, numbers of items
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(found):
+            phrases, which = np.unique(np.concatenate([w for w, _ in found[n]]), axis=0, return_inverse=True)
+            pairs = np.stack([which.ravel(), np.concatenate([o for _, o in found[n]])], axis=1)
+            pairs = np.unique(pairs[pairs[:, 1] >= 0], axis=0)
+            self.by_length[n] = (phrases, np.searchsorted(pairs[:, 0], np.arange(len(phrases) + 1)), pairs[:, 1])
         self.shortest = min(self.by_length, default=0)
 
 
-def search_shard(runs: list[np.ndarray], windows: Windows) -> Iterator[tuple[int, int, int, frozenset[str]]]:
-    """(run, first word, one past the last word, items) of every occurrence of a window in ``runs`` of word numbers."""
+def search_shard(runs: list[np.ndarray], windows: Windows) -> Iterator[tuple[int, int, int, list[int]]]:
+    """(run, first word, one past the last word, numbers of items) of every occurrence of a window in ``runs`` of word numbers."""
     if not runs:
         return
     lengths = np.array([len(r) + 1 for r in runs])
@@ -54,16 +64,17 @@ def search_shard(runs: list[np.ndarray], windows: Windows) -> Iterator[tuple[int
     # the alphabet is what occurs here, renumbered, so that the wavelet tree is only as deep as the shard needs
     used = np.unique(np.concatenate([_END, symbols]))
     index = FMIndex(np.searchsorted(used, symbols), len(used))
-    for n, (phrases, items) in windows.by_length.items():
+    for n, (phrases, first, items) in windows.by_length.items():
         local = np.searchsorted(used, phrases).clip(max=len(used) - 1)
         there = np.flatnonzero((used[local] == phrases).all(axis=1))
         low, high = index.find(local[there])
         for p in np.flatnonzero(high > low):
+            mine = items[first[there[p]] : first[there[p] + 1]].tolist()
             for place in range(low[p], high[p], 1 << 16):
                 for position in index.locate(np.arange(place, min(high[p], place + (1 << 16)))):
                     run = int(np.searchsorted(starts, position, side="right")) - 1
                     at = int(position - starts[run])
-                    yield run, at, at + n, items[there[p]]
+                    yield run, at, at + n, mine
 
 
 _END = np.zeros(1, np.int64)
@@ -95,7 +106,7 @@ def scan(texts: list[bytes | None], windows: Windows) -> list[_Doc]:
         for run, start, end, items in search_shard(runs, windows):
             doc, at = owners[run]
             docs[doc].spans.append((at + start, at + end))
-            docs[doc].items |= items
+            docs[doc].items.update(items)
         runs.clear()
         owners.clear()
         held = 0
@@ -127,6 +138,7 @@ def scan(texts: list[bytes | None], windows: Windows) -> list[_Doc]:
     search()
     for doc in docs:
         doc.spans = _merge(doc.spans)
+        doc.items = {windows.items[i] for i in doc.items}
     return docs
 
 
@@ -153,40 +165,81 @@ def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
             cuts[-1][1] = m.end()
     out, done = [], 0
     for start, end in cuts:
-        out.append(data[done:start].rstrip(b" "))
+        left = data[done:start].rstrip(b" ")
+        out.append(left.lstrip(b" ") if done else left)
         done = end
     return b" ".join(filter(None, [*out, data[done:].lstrip(b" ")])) if cuts else data
 
 
-_FOUND = "doc_id long, text string, n_words long, starts array<long>, ends array<long>, items array<string>"
+def _scanner(windows, cut: bool):
+    """Rows of (key, text) or of an earlier block's result; with ``cut``, the spans also go from the texts."""
 
-
-def _scanner(windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = scan(list(byte_rows(batch.column(1))), windows.value)
-            if batch.num_columns > 2:  # an earlier block of items
+            texts = list(byte_rows(batch.column(1)))
+            found = scan(texts, windows.value)
+            if batch.num_columns > 2:
                 for doc, starts, ends, items in zip(found, *(batch.column(i).to_pylist() for i in (3, 4, 5))):
                     doc.spans, doc.items = _merge([*doc.spans, *zip(starts, ends)]), doc.items | set(items)
+            left = batch.column(1)
+            if cut and any(d.spans for d in found):
+                clean = [t if t is None or not d.spans else remove_spans(t, d.spans) for t, d in zip(texts, found)]
+                left = pa.array([None if t is None else t.decode() for t in clean], pa.string())
             columns = [
                 pa.array([d.n_words for d in found], pa.int64()),
                 pa.array([[s for s, _ in d.spans] for d in found], pa.list_(pa.int64())),
                 pa.array([[e for _, e in d.spans] for d in found], pa.list_(pa.int64())),
                 pa.array([sorted(d.items) for d in found], pa.list_(pa.string())),
             ]
-            yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["doc_id", "text", "n_words", "starts", "ends", "items"])
+            yield pa.record_batch([batch.column(0), left, *columns], ["key", "text", "n_words", "starts", "ends", "items"])
 
     return run
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, bytes | None]]]:
-    """The items in blocks of about ``BLOCK_BYTES`` at most, each brought to the driver and broadcast by itself."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+def item_pieces(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(item, words, cost)``: the words of each item in pieces of ``PIECE`` windows at most; a window lies whole in one piece."""
+    words = F.regexp_extract_all(F.translate(F.col(text_col).cast("string"), _UPPER, _LOWER), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
+    rows = items.select(F.col(id_col).cast("long").alias("item"), words.alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)), F.lit(PIECE))
+    pieces = rows.select("item", "words", F.explode(starts).alias("at")).select("item", F.slice("words", F.col("at") + 1, F.lit(PIECE + WINDOW - 1)).alias("words"))
+    return pieces.select("item", "words", (F.size("words") * WORD_BYTES + F.octet_length(F.array_join("words", ""))).cast("long").alias("cost"))
+
+
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[Windows, bool]]:
+    """The windows of the items in blocks, each brought to the driver by itself and with whether it is the last; one block at least.
+
+    A block takes twice ``BLOCK_BYTES`` at most, or one piece.
+    """
+    pieces = materialize(item_pieces(items, id_col, text_col).withColumn("piece", F.monotonically_increasing_id()), "items")
+    total, largest = pieces.agg(F.coalesce(F.sum("cost"), F.lit(0)), F.coalesce(F.max("cost"), F.lit(0))).first()
     blocks = max(1, -(-total // BLOCK_BYTES))
+    while blocks > 1 and pieces.groupBy(_block(blocks).alias("b")).agg(F.sum("cost").alias("c")).agg(F.max("c")).first()[0] > max(2 * BLOCK_BYTES, largest):
+        blocks *= 2
     for b in range(blocks):
-        mine = rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect() if blocks > 1 else rows.collect()
-        yield [(r.i, None if r.t is None else r.t.encode()) for r in mine]
+        rows = pieces.where(_block(blocks) == b).select("item", "words").collect()
+        yield Windows((r.item, [w.encode() for w in r.words]) for r in rows), b == blocks - 1
+    release(pieces)
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("piece"), F.lit(blocks))
+
+
+def _scanned(rows: DataFrame, items: DataFrame, item_col: str, item_text: str, cut: bool = False) -> DataFrame:
+    """``(key, text, n_words, starts, ends, items)`` for ``rows(key, text)``.
+
+    All blocks of items search the text as it came; the pass of the last one cuts, so blocks don't change the result.
+    What earlier blocks found is a table in the shared folder.
+    """
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([rows.schema["key"]]).add("text", "string").add("n_words", "long").add("starts", longs).add("ends", longs).add("items", T.ArrayType(T.StringType()))
+    for windows, last in item_blocks(items, item_col, item_text):
+        found = rows.mapInArrow(_scanner(rows.sparkSession.sparkContext.broadcast(windows), cut and last), schema)
+        if not last:
+            found = materialize(found, "scanned")
+            release(rows)
+        rows = found
+    return rows
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -195,10 +248,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Null or wordless texts have no words and no spans. Items that are null or without words have no windows; an item
     without an id marks words but is not listed. Rows that repeat are judged each, by their own text.
     """
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for block in item_blocks(items, item_col, item_text):
-        out = out.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(Windows(block))), _FOUND)
-    return out
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    return _scanned(rows, items, item_col, item_text).withColumnRenamed("key", "doc_id")
 
 
 def report(docs: DataFrame, items: DataFrame, **names: str) -> DataFrame:
@@ -215,36 +266,22 @@ def report(docs: DataFrame, items: DataFrame, **names: str) -> DataFrame:
     )
 
 
-def removed(docs: DataFrame, items: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the hit spans cut out of the texts, all rows kept and ``count_col``, where there is one, recounted.
+def removed(docs: DataFrame, items: DataFrame, text_col: str = "text", count_col: str = "n_chars", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` with the hit spans cut out of the texts, all rows and columns kept.
 
-    Texts without hits stay byte for byte; a null text stays null.
+    Spans are those of the text as it came, over all items, and go in one cut; a space joins what stood before and after
+    one. Words that only the cut brings together were no passage of the text and stay, whatever they spell. Texts
+    without hits stay byte for byte, a null text stays null, and a text that loses all its words keeps what stood
+    around them. ``count_col``, where there is one, is recounted for texts that change.
     """
-    schema = docs.schema
-    names = schema.names
-    at = names.index(text_col)
-    out = docs
-    for block in item_blocks(items, "item_id", "text"):
-        out = out.mapInArrow(_cutter(docs.sparkSession.sparkContext.broadcast(Windows(block)), at), schema)
-    if count_col in names:
-        out = out.withColumn(count_col, F.length(text_col).cast(schema[count_col].dataType))
-    return out
-
-
-def _cutter(windows, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = list(byte_rows(batch.column(at)))
-            found = scan(texts, windows.value)
-            if any(d.spans for d in found):
-                clean = [remove_spans(t, d.spans).decode() if d.spans else None if t is None else t.decode() for t, d in zip(texts, found)]
-                columns = batch.columns
-                columns[at] = pa.array(clean, pa.string())
-                batch = pa.record_batch(columns, batch.schema.names)
-            yield batch
-
-    return run
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    rows = docs.select(F.struct("*").alias("key"), F.col(text_col).cast("string").alias("text"))
+    found = _scanned(rows, items, item_col, item_text, cut=True)
+    columns = []
+    for f in docs.schema.fields:
+        old = F.col("key").getField(f.name)
+        if f.name == text_col:
+            old = F.col("text")
+        elif f.name == count_col:
+            old = F.when(F.size("starts") > 0, F.length("text").cast(f.dataType)).otherwise(old)
+        columns.append(old.alias(f.name))
+    return found.select(columns)

@@ -1,24 +1,30 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target over its size is the expected number of copies of each of its documents. The whole part of that is
-certain. For the rest, documents are ranked by random odds over inclusion odds, and the first ones are taken until
-their words fill what the certain copies leave of the target. The random number is a digest of the id, so reruns
-agree. The cut is found by two histograms of the ranking and a sort of the one bin that holds it, so no source, however
+Inside a source a document is expected the more often the longer it is: expected copies are one level of the source times
+the number of binary digits of the document's words, up to the limit, and the level is such that expected words
+meet the source's target. The whole part of the expectation is certain. What is left of it is the inclusion probability of
+one more copy: documents are ranked by random odds over inclusion odds, and the first ones are taken until their words fill
+what the certain copies leave of the target. So the sample's size is fixed in words, as targets are.
+
+The random number is a digest of the id, so reruns agree. The cut is found by two histograms of the ranking and a sort
+of the one bin that holds it; documents that have no chance of another copy are not ranked. So no source, however
 large, is ranked in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cohesia.operators.canonical import dense_index
 from cohesia.runtime import materialize
 
 WEIGHTS, MAX_REPEATS, SEED = (5, 2, 1), 3, "mix-1"
 _BITS = 10
-#: The most sources whose targets are broadcast; more are joined by shuffle.
-BROADCAST_SOURCES = 50_000
+#: The most rows (sources, or sources and numbers of digits; some 100 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -29,86 +35,100 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rep
     """``(source, source_size, target)`` from ``sizes(source, size)``.
 
     Sources by code point, null last, have ``weights`` in turn and share the total size. A target stops at
-    ``max_repeats`` times its source's size and the excess goes to the others by weight: with sources by cap over weight,
-    the capped ones come first and the rest get one level times their weight.
+    ``max_repeats`` times its source's size and the excess goes to the others by weight: all that are not stopped get one
+    level times their weight. Each round stops the sources that the level of the round before would take over their limit.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(W.orderBy(F.asc_nulls_last("source")))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((place - 1) % len(weights) + 1).cast("int"))
-    ranked = totals.select("*", place.alias("place"), weight.alias("weight"), (F.col("source_size") * max_repeats).alias("cap"))
-    order = W.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(order), F.lit(0))
-    weights_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(order), F.lit(0))
-    levels = ranked.withColumn("level", left / weights_left)
-    fits = F.when(F.col("weight") * F.col("level") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "place", "level"))
-    levels = levels.withColumn("level", F.min(fits).over(everything)["level"])
-    return levels.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target"))
-
-
-def _ranked(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sizes with the targets, the certain copies, the words to fill and the rank of each document, cut into two digits."""
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    rows = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rows = rows.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    rows = rows.withColumn("fill", F.col("target") - F.col("whole") * F.col("source_size"))
-    include = F.col("fill") / F.col("source_size")
-    odds = F.col("u") / (1 - F.col("u")) * ((1 - include) / include)
-    rows = rows.withColumn("odds", F.when((F.col("source_size") > 0) & (F.col("fill") > 0), odds).otherwise(F.lit(1.0)))
-    bucket = F.floor(F.col("odds") / (1 + F.col("odds")) * (1 << 2 * _BITS))
-    return rows.withColumn("hi", F.shiftright(bucket, _BITS)).withColumn("lo", bucket % (1 << _BITS))
-
-
-def _cut(bins: DataFrame, keys: list[str], digit: str) -> DataFrame:
+    totals = dense_index(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), F.asc_nulls_last("source"), name="place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    ranked = materialize(totals.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * max_repeats).alias("cap")), "sources")
+    level, stopped = 0.0, -1
+    while True:
+        over = F.col("weight") * F.lit(level) > F.col("cap")
+        everything, caps, left, n = ranked.agg(F.sum("source_size"), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
+        if n == stopped or not left:
+            break
+        level, stopped = (everything - (caps or 0)) / left, n
+    return ranked.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)).alias("target"))
+
+
+def expected_copies(sizes: DataFrame, targets: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """``(source, digits, source_size, target, whole, part, fill)``, a row for each source and number of binary digits of a size.
+
+    whole and part add up to the expected copies of each such document; fill is what the certain copies leave of the target.
+    A source has at most 63 rows. The level is found from above: documents of the most digits are the first at the limit.
+    """
+    classes = sizes.where("size > 0").groupBy("source", "digits").agg(F.sum("size").alias("words"))
+    classes = classes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    above = W.partitionBy("source").orderBy(F.desc("digits")).rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy("source").orderBy("digits")
+    capped = F.coalesce(F.sum("words").over(above), F.lit(0)) * max_repeats
+    level = (F.col("target") - capped) / F.sum(F.col("words") * F.col("digits")).over(upto)
+    tried = classes.withColumn("level", level)
+    fits = F.when(F.col("level") * F.col("digits") <= max_repeats, F.struct("digits", "level"))
+    limit = F.lit(float(max_repeats))
+    copies = F.least(F.coalesce(F.max(fits).over(W.partitionBy("source"))["level"] * F.col("digits"), limit), limit)
+    copies = F.when(F.col("target") < F.col("source_size") * max_repeats, copies).otherwise(limit)
+    whole = F.floor(copies).cast("long")
+    found = tried.select("source", "digits", "source_size", "target", "words", whole.alias("whole"), (copies - whole).alias("part"))
+    fill = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(W.partitionBy("source"))
+    return found.select("source", "digits", "source_size", "target", "whole", "part", fill.alias("fill"))
+
+
+def _joined(rows: DataFrame, small: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
+    small = small.select(*(F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in small.columns))
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return rows.join(F.broadcast(small) if few else small, on, "left").drop(*(f"_{k}" for k in keys))
+
+
+def _cut(bins: DataFrame, digit: str) -> DataFrame:
     """For each source the bin that its fill ends in, and the words before it; sources that no bin cuts are left out."""
-    sums = bins.groupBy(*keys, "fill", "before", digit).agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(W.partitionBy(*keys).orderBy(digit)) + F.col("before")
+    sums = bins.groupBy("source", "fill", "before", digit).agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(W.partitionBy("source").orderBy(digit)) + F.col("before")
     cut = sums.withColumn("upto", upto).where((F.col("upto") - F.col("words") <= F.col("fill")) & (F.col("fill") < F.col("upto")))
-    return cut.select(*keys, (F.col("upto") - F.col("words")).alias(f"{digit}_before"), F.col(digit).alias(f"{digit}_cut"))
-
-
-def _with_cut(rows: DataFrame, cut: DataFrame, few: bool) -> DataFrame:
-    cut = cut.withColumnRenamed("source", "of")
-    return rows.join(F.broadcast(cut) if few else cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    return cut.select("source", (F.col("upto") - F.col("words")).alias(f"{digit}_before"), F.col(digit).alias(f"{digit}_cut"))
 
 
 def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, source, size, source_size, target, copies, taken.
 
-    size is the number of words (null: 0), target that of the row's source, copies how often the mix takes it, taken
-    copies times size. A null source is a source of its own, the last. Texts without words are never copied beyond
-    the certain copies and take 0 words. Rows that repeat an id have the same random number; ties go by id, then by
-    hash of the text. A row without an id draws by its text. An empty table gives an empty result.
+    size is the number of words (null: 0), target that of the row's source, copies how often the mix takes it, at most
+    ``max_repeats``, and taken copies times size. A null source is a source of its own, the last. A text without words
+    adds nothing to a mix and is never taken. Rows that repeat an id have the same random number; ties go by id, then
+    by hash of the text. A row without an id draws by its text. An empty table gives an empty result.
     """
     digest = _digest(seed, id_col, text_col)
     draw = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / float(1 << 48)
-    sizes = materialize(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.xxhash64(F.col(text_col)).alias("text_hash"),
-            F.col(source_col).cast("string").alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            draw.alias("u"),
-        ),
-        "sizes",
+    sizes = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
+        F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+        draw.alias("u"),
     )
+    sizes = materialize(sizes.withColumn("digits", F.when(F.col("size") > 0, F.length(F.bin("size")))), "sizes")
     targets = materialize(source_targets(sizes.select("source", "size"), weights, max_repeats), "targets")
-    few = targets.count() <= BROADCAST_SOURCES
-    rows = _ranked(sizes, targets)
-    first = materialize(_cut(rows.withColumn("before", F.lit(0).cast("long")), ["source"], "hi"), "cut")
-    rows = _with_cut(rows, first, few)
-    inner = rows.where("hi = hi_cut").withColumn("before", F.col("hi_before"))
-    second = materialize(_cut(inner, ["source"], "lo"), "cut")
-    rows = _with_cut(rows, second, few)
-
-    at_cut = (F.col("hi") == F.col("hi_cut")) & (F.col("lo") == F.col("lo_cut"))
-    under = F.coalesce((F.col("hi") < F.col("hi_cut")) | ((F.col("hi") == F.col("hi_cut")) & (F.col("lo") < F.col("lo_cut"))), F.col("fill") > 0)
-    sure = rows.where(~F.coalesce(at_cut, F.lit(False))).withColumn("more", under.cast("int"))
+    expected = materialize(expected_copies(sizes, targets, max_repeats), "expected")
+    few = max(targets.count(), expected.count()) <= BROADCAST_ROWS
+    odds = F.col("u") / (1 - F.col("u")) * ((1 - F.col("part")) / F.col("part"))
+    bucket = F.floor(F.col("odds") / (1 + F.col("odds")) * (1 << 2 * _BITS))
+    open_ = F.col("part") > 0
+    rows = _joined(_joined(sizes, expected.drop("source_size", "target"), ["source", "digits"], few), targets, ["source"], few)
+    rows = rows.withColumn("odds", F.when(open_, odds)).withColumn("bucket", bucket)
+    rows = rows.withColumn("hi", F.shiftright("bucket", _BITS)).withColumn("lo", F.col("bucket") % (1 << _BITS))
+    first = materialize(_cut(rows.where(open_).withColumn("before", F.lit(0).cast("long")), "hi"), "cut")
+    rows = _joined(rows, first, ["source"], few)
+    inner = rows.where(open_ & (F.col("hi") == F.col("hi_cut"))).withColumn("before", F.col("hi_before"))
+    second = materialize(_cut(inner, "lo"), "cut")
+    rows = _joined(rows, second, ["source"], few)
+
+    at_cut = F.coalesce((F.col("hi") == F.col("hi_cut")) & (F.col("lo") == F.col("lo_cut")), F.lit(False))
+    # a fill that no bin cuts is more than all words that may be added
+    under = F.coalesce((F.col("hi") < F.col("hi_cut")) | ((F.col("hi") == F.col("hi_cut")) & (F.col("lo") < F.col("lo_cut"))), F.lit(True))
+    sure = rows.where(~at_cut).withColumn("more", F.coalesce(open_ & under, F.lit(False)).cast("int"))
     ahead = F.sum("size").over(W.partitionBy("source").orderBy("odds", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, -1))
     upto = F.coalesce(ahead, F.lit(0)) + F.col("lo_before") + F.col("size") / 2
     cut = rows.where(at_cut).withColumn("more", (upto <= F.col("fill")).cast("int"))
-    both = sure.unionByName(cut).withColumn("copies", F.col("whole") + F.col("more"))
+    both = sure.unionByName(cut).withColumn("copies", F.coalesce("whole", F.lit(0)) + F.col("more"))
     return both.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
@@ -117,14 +137,16 @@ def _digest(seed: str, id_col: str, text_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with ``copy`` counting from 1.
+def mix(docs: DataFrame, copy_col: str = "copy", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with ``copy_col`` counting from 1.
 
-    All columns of ``docs`` stay; one that is named ``copy`` is replaced.
+    All columns of ``docs`` stay; where one has the name ``copy_col``, the count is named with underscores before it.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = sample(docs, **options).where("copies > 0").groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies"))
+    while copy_col in docs.columns:
+        copy_col = "_" + copy_col
+    found = materialize(sample(docs, **options).where("copies > 0").groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies")), "mix")
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_i"), F.xxhash64(F.col(text_col)).alias("_h"))
     same = F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash"))
     taken = rows.join(found.hint("shuffle_hash"), same)
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select("_row.*", "_copy").withColumn("copy", F.col("_copy")).drop("_copy")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select("_row.*", F.col("_copy").alias(copy_col))

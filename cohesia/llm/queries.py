@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohesia.runtime import settled
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    """Registers ``f``; its result is written and the tables of its way there are deleted."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return settled(spark, lambda: f(spark, sf_dir), f.__name__)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,17 +154,27 @@ WITH d AS (
   FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT arg_min(level, (cap::DOUBLE / weight, place)) FROM l WHERE weight * level <= cap)) AS target FROM l
+), k AS (
+  SELECT d.source, length(bin(size)) AS digits, sum(size)::BIGINT AS words, any_value(source_size) AS source_size, any_value(target) AS target
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0 GROUP BY 1, 2
+), v AS (
+  SELECT *, (target - (coalesce(sum(words) OVER (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3)::DOUBLE)
+            / (sum(words * digits) OVER (PARTITION BY source ORDER BY digits))::DOUBLE AS level FROM k
+), e AS (
+  SELECT *, CASE WHEN target < source_size * 3 THEN least(coalesce((max(CASE WHEN level * digits <= 3 THEN {'digits': digits, 'level': level} END) OVER (PARTITION BY source)).level * digits, 3), 3) ELSE 3 END AS copies FROM v
 ), f AS (
-  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS part FROM e
 ), g AS (
-  SELECT *, target - whole * source_size AS fill FROM f
+  SELECT *, target - (sum(whole * words) OVER (PARTITION BY source))::DOUBLE AS fill FROM f
 ), q AS (
-  SELECT *, CASE WHEN source_size > 0 AND fill > 0 THEN u / (1 - u) * ((1 - fill / source_size) / (fill / source_size)) ELSE 1.0 END AS odds FROM g
+  SELECT d.doc_id, d.source, size, whole, part, fill, CASE WHEN part > 0 THEN u / (1 - u) * ((1 - part) / part) END AS odds
+  FROM d LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source AND size > 0 AND length(bin(size)) = g.digits
 ), c AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q
+  SELECT doc_id, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 <= fill AS more
+  FROM q WHERE part > 0
 )
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN ahead + size / 2 <= fill THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+SELECT doc_id, q.size, t.source_size, t.target, (q.size * (coalesce(whole, 0) + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM q LEFT JOIN c USING (doc_id) JOIN t ON q.source IS NOT DISTINCT FROM t.source
 """
 
 

@@ -355,7 +355,7 @@ def test_decontamination(spark, monkeypatch, block, shard):
     texts += [f"zz {items[2][1]}, {items[5][1].upper()}! {items[5][1]}", None, items[3][1], items[5][1] * 3]
     monkeypatch.setattr(text, "BLOCK", block)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
-    windows = decontaminate.Windows([(i, None if t is None else t.encode()) for i, t in items])
+    windows = decontaminate.Windows((i, re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").lower().encode())) for i, t in items)
     for t, doc in zip(texts, decontaminate.scan([None if t is None else t.encode() for t in texts], windows)):
         assert (doc.n_words, sum(e - s for s, e in doc.spans), sorted(doc.items)) == brute_hits(t, items)
 
@@ -368,7 +368,7 @@ def test_decontamination_blocks_and_removal(spark, monkeypatch):
     texts = [f"Before, {passage.upper()}.\nAfter the end", "keep this  text", f"{passage}", "a solo - phrase b", None, ""]
     expected = ["Before, .\nAfter the end", "keep this  text", "", "a b", None, ""]
     reports = []
-    for size in (1 << 20, 8):
+    for size in (1 << 20, 1500):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
         cut = {r.doc_id: r for r in decontaminate.removed(docs_frame(spark, texts), items).collect()}
         assert [cut[i].text for i in range(6)] == expected
@@ -378,6 +378,39 @@ def test_decontamination_blocks_and_removal(spark, monkeypatch):
     assert [r[1:4] for r in reports[0]] == [(18, 14, 1), (3, 0, 0), (14, 14, 1), (4, 2, 1), (0, 0, 0), (0, 0, 0)]
 
 
+@pytest.mark.parametrize(("block_bytes", "piece", "order"), [(1 << 30, 1 << 14, 1), (9000, 1 << 14, 1), (20_000, 1, 1), (9000, 2, -1)])
+def test_removal_does_not_depend_on_blocks(spark, monkeypatch, block_bytes, piece, order):
+    """Overlapping items in one, two and many blocks, and items in pieces: the text without the words that brute force hits."""
+    from cohesia.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    w = [f"w{i}" for i in range(30)]
+    items = [(1, " ".join(w[:10])), (2, " ".join(w[5:15])), (3, " ".join(w[12:30])), (4, "tiny bit"), (5, " ".join(w[:25])), (5, " ".join(w[20:]))][::order]
+    texts = [
+        f"x {' '.join(w[:15])} y",
+        f"x {' '.join(w)} y {' '.join(w[3:14])}",
+        f"{' '.join(w[:5])} tiny bit {' '.join(w[5:10])}",  # what the cut brings together spells item 1 and stays
+        f"{' '.join(w[:9])} {' '.join(w[8:17])}",
+        "nothing here",
+    ]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    cut = {r.doc_id: r.text for r in decontaminate.removed(docs_frame(spark, texts), frame).collect()}
+    for i, t in enumerate(texts):
+        words, hit = t.split(), set()
+        for _, item in items:
+            ws = item.split()
+            n = min(10, len(ws))
+            for a in range(len(ws) - n + 1):
+                for b in range(len(words) - n + 1):
+                    if words[b : b + n] == ws[a : a + n]:
+                        hit |= set(range(b, b + n))
+        assert cut[i] == " ".join(x for j, x in enumerate(words) if j not in hit)
+    assert cut[0] == "x y" and cut[2] == " ".join(w[:10]) and cut[4] == texts[4]
+    report = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(docs_frame(spark, texts), frame).collect()}
+    assert report == {i: (n, hit, len(found)) for i, t in enumerate(texts) for n, hit, found in [brute_hits(t, items)]}
+
+
 def test_fm_index():
     from cohesia.llm.fmindex import FMIndex
 
@@ -413,6 +446,18 @@ def brute_targets(sizes, weights, cap):
     return target
 
 
+def brute_expected(sizes, target, limit=3):
+    """Expected copies by number of binary digits: one level times the digits, documents at the limit taken out until none is above."""
+    capped, digits = set(), {n.bit_length() for n in sizes if n}
+    while True:
+        rest = sum(n * n.bit_length() for n in sizes if n and n.bit_length() not in capped)
+        level = (target - limit * sum(n for n in sizes if n.bit_length() in capped)) / rest if rest else 0
+        over = {d for d in digits - capped if level * d > limit * (1 + 1e-12)}
+        if not over:
+            return {d: limit if d in capped else min(limit, level * d) for d in digits}
+        capped |= over
+
+
 def test_mixing(spark):
     from cohesia.llm.mixing import mix, sample
 
@@ -422,20 +467,64 @@ def test_mixing(spark):
         rows += [(len(rows) + i, " ".join(["w"] * (rng.randint(0, 40) if source != "zero" else 0)) or None, "en", source, 0) for i in range(n)]
     df = spark.createDataFrame(rows, DOCS)
     found = sample(df).collect()
-    sizes = Counter()
+    sizes = defaultdict(list)
     for _, t, _, s, _ in rows:
-        sizes[s] += len((t or "").split())
-    expected = brute_targets(sizes, (5, 2, 1), 3)
+        sizes[s].append(len((t or "").split()))
+    expected = brute_targets({s: sum(n) for s, n in sizes.items()}, (5, 2, 1), 3)
+    copies = {s: brute_expected(n, expected[s]) for s, n in sizes.items()}
     taken = Counter()
     for r in found:
         taken[r.source] += r.taken
-        assert r.source_size == sizes[r.source] and r.target == pytest.approx(expected[r.source])
-        assert r.taken <= 3 * r.size and r.taken == r.size * r.copies
+        assert r.source_size == sum(sizes[r.source]) and r.target == pytest.approx(expected[r.source])
+        assert r.taken <= 3 * r.size and r.taken == r.size * r.copies and r.copies <= 3
+        if r.size:
+            assert math.floor(copies[r.source][r.size.bit_length()]) <= r.copies <= math.ceil(copies[r.source][r.size.bit_length()] + 1e-9)
+        else:
+            assert r.copies == 0
     assert len(found) == len(rows) and all(abs(taken[s] - expected[s]) <= 40 for s in sizes)
     again = {r.doc_id: r.copies for r in sample(df.repartition(7)).collect()}
     assert again == {r.doc_id: r.copies for r in found}
     copies = Counter(r.doc_id for r in mix(df).collect())
     assert copies == Counter({i: n for i, n in again.items() if n})
+    kept = mix(df.withColumn("copy", F.lit("own"))).first()
+    assert kept["copy"] == "own" and kept["_copy"] == 1
+
+
+def test_mixing_deals_unequal_inclusion(spark):
+    """Over many seeds documents of each length are taken as often as the method says, and every mix has the words of its target."""
+    from cohesia.llm.mixing import sample
+
+    lengths = [1, 3, 6, 12, 25, 50, 100] * 12
+    rows = [(i, " ".join(["w"] * n), "en", "a" if i < 63 else "b", 0) for i, n in enumerate(lengths)] + [(1000 + i, "", "en", "b", 0) for i in range(50)]
+    df = spark.createDataFrame(rows, DOCS).persist()
+    sizes = {"a": lengths[:63], "b": lengths[63:]}
+    target = brute_targets({s: sum(n) for s, n in sizes.items()}, (1, 1), 3)
+    expected = {s: brute_expected(n, target[s]) for s, n in sizes.items()}
+    seeds, taken = 40, Counter()
+    for seed in range(seeds):
+        words = Counter()
+        for r in sample(df, weights=(1, 1), seed=str(seed)).collect():
+            assert r.size or not r.copies
+            taken[r.source, r.size] += r.copies
+            words[r.source] += r.taken
+        assert all(abs(words[s] - target[s]) <= 50 for s in target)
+    assert len({round(x, 3) for x in expected["a"].values()}) == 7
+    for s, ns in sizes.items():
+        for n, times in Counter(ns).items():
+            assert taken[s, n] / (seeds * times) == pytest.approx(expected[s][n.bit_length()], abs=0.12)
+
+
+def test_mixing_of_a_capped_source(spark):
+    """All rows of a source at the limit are certain: none is ranked, and texts without words are never taken."""
+    from cohesia.llm.mixing import expected_copies, sample, source_targets
+
+    rows = [(i, "one two three" if i % 2 else None, "en", "b", 0) for i in range(2000)] + [(5000 + i, "w " * 400, "en", "a", 0) for i in range(100)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = sample(df, weights=(1, 5)).collect()
+    assert {r.copies for r in found if r.source == "b"} == {0, 3} and {r.size for r in found if r.copies == 0 and r.source == "b"} == {0}
+    sizes = spark.createDataFrame([(r.source, r.size, r.size.bit_length() or None) for r in found], "source string, size long, digits int")
+    parts = {r.source: r.part for r in expected_copies(sizes, source_targets(sizes.select("source", "size"), (1, 5))).collect()}
+    assert parts["b"] == 0 and 0 < parts["a"] < 1
 
 
 # licences
