@@ -9,7 +9,7 @@ from cohesia.llm.lines import line_dedup
 from cohesia.llm.mixing import mix
 from cohesia.llm.simhash import near_dedup
 from cohesia.llm.toxicity import reject_toxic
-from cohesia.runtime import materialize
+from cohesia.runtime import release, settled
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, from the whole table of documents. Each stage's table goes to the shared folder."""
+    """The rows of the last stage, from the whole table of documents. Each stage's table goes to the shared folder and is deleted when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settled(spark, lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
+        release(before)
     return docs
