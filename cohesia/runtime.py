@@ -8,6 +8,7 @@ missing partition, and the next round's plan starts from a plain scan.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -75,6 +76,12 @@ def release(*frames: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's heap is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
