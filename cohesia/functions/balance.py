@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohesia.operators.access import prefix_sums
+from cohesia.operators.canonical import dense_index, doubled
+from cohesia.runtime import materialize, release
 
 
 def _levels(supports: DataFrame) -> DataFrame:
@@ -57,6 +59,25 @@ def split_by_relative_cost(supports: DataFrame) -> DataFrame:
     return _first_level(_levels(supports), cost)
 
 
+def split_for_parts(supports: DataFrame, parts: int) -> DataFrame:
+    """``(part, level)``: where each part but the last ends, increasing. The first one ends where two thirds of the edges are below,
+    each further one where a third more than before are, at 2 at least; one that does not exceed the one before is that plus 2.
+    """
+    levels = _levels(supports)
+    needs, row = [], levels.agg(F.max("edges")).first()
+    need = (row[0] or 0) // 3 * 2
+    for _ in range(parts - 1):
+        needs.append(min(need, row[0] or 0))
+        need += need // 3
+    if not needs or not row[0]:
+        return supports.sparkSession.createDataFrame([], "part long, level long")
+    found = levels.agg(*(F.min(F.when(F.col("below") >= n, F.col("l"))).alias(f"l{i}") for i, n in enumerate(needs)))
+    ends = [F.greatest(F.col("l0"), F.lit(2))]
+    for i in range(1, len(needs)):
+        ends.append(F.when(F.col(f"l{i}") > ends[-1], F.col(f"l{i}")).otherwise(ends[-1] + 2))
+    return found.select(F.inline(F.array(*(F.struct(F.lit(i).cast("long").alias("part"), e.cast("long").alias("level")) for i, e in enumerate(ends)))))
+
+
 def equal_cost_batches(rows: DataFrame, place: str, cost: str, batch: int) -> DataFrame:
     """``(place, cost, batch)``: rows in the order of a dense number, a new batch for each ``batch`` of cost before."""
     sums = prefix_sums(rows.select(place, F.col(cost).alias("_size"), cost), place, "_size")
@@ -94,21 +115,35 @@ def lpt_partition(items: DataFrame, key: str, weight: str, parts: int) -> DataFr
     return items.sparkSession.createDataFrame([(r[key], r[weight], p) for r, p in zip(rows, found)], f"{key} {kinds[key]}, {weight} {kinds[weight]}, part long")
 
 
-def community_partition(edges: DataFrame, parts: int, rounds: int = 5) -> DataFrame:
-    """``(src, dst, part)`` with a halo: communities by label propagation, communities dealt to parts by hash, and
-    an edge in the parts of both its ends.
-
-    In each round a vertex takes the most frequent label among its neighbours and itself, the least of several.
+def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """``(id, label)`` by label propagation: in each round a vertex takes the most frequent label among its neighbours and itself,
+    the least of several. It ends when no label changes, or after ``rounds``.
     """
-    from cohesia.operators.canonical import doubled
-    from cohesia.runtime import materialize
-
     near = doubled(edges.select("src", "dst"))
-    labels = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("label", F.col("id"))
+    labels = materialize(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("label", F.col("id")), "labels")
     for _ in range(rounds):
         heard = near.join(labels.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "label").unionByName(labels.select("id", "label"))
         votes = heard.groupBy("id", "label").agg(F.count("*").alias("n"))
-        labels = materialize(votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("label")).alias("m"))).alias("best")).select("id", (-F.col("best.m")).alias("label")), "labels")
-    part = labels.select("id", F.pmod(F.xxhash64("label"), F.lit(parts)).alias("part"))
+        found = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("label")).alias("m"))).alias("best")).select("id", (-F.col("best.m")).alias("label"))
+        new = materialize(found, "labels")
+        same = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count() == 0
+        release(labels)
+        labels = new
+        if same:
+            break
+    return labels
+
+
+def community_partition(edges: DataFrame, parts: int, rounds: int = 5) -> DataFrame:
+    """``(src, dst, part)`` with a halo: an edge is in the parts of both its ends, communities whole in one part.
+
+    Communities are dealt to parts by their number of vertices, largest first (ties by label), forth and back, so parts come
+    out alike unless one community outweighs the rest.
+    """
+    labels = communities(edges, rounds)
+    sizes = dense_index(labels.groupBy("label").agg(F.count("*").alias("n")), F.desc("n"), F.col("label"), name="rank")
+    turn = F.col("rank") % (2 * parts)
+    dealt = sizes.select("label", F.when(turn < parts, turn).otherwise(2 * parts - 1 - turn).cast("long").alias("part"))
+    part = labels.join(dealt, "label").select("id", "part")
     placed = edges.select("src", "dst", F.explode(F.array("src", "dst")).alias("id")).join(part, "id")
     return placed.select("src", "dst", "part").distinct()

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from cohesia.operators import canonical
+from cohesia.runtime import materialize
 from cohesia.sources.edges import edges_from_text
 
 
@@ -25,18 +26,25 @@ class Graph:
             self.vertices = self.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
     @classmethod
-    def from_edges(cls, edges: DataFrame, directed: bool = False, vertices: DataFrame | None = None) -> Graph:
-        """Clean rows into a graph: no loops, no repeats, and no reversed repeats if undirected."""
-        clean = canonical.drop_loops(edges).select("src", "dst").distinct() if directed else canonical.canonicalise(edges)
+    def from_edges(cls, edges: DataFrame, directed: bool = False, vertices: DataFrame | None = None, order: Sequence[str] = ()) -> Graph:
+        """Clean rows into a graph: no loops, no repeats, and no reversed repeats if undirected.
+
+        Columns besides src and dst are attributes; of rows that repeat a pair the first by ``order``, then by the attributes,
+        gives them. An undirected edge has src < dst whatever its row had, so all triangle operators may rely on it.
+        """
+        attributes = [c for c in edges.columns if c not in ("src", "dst", *order)]
+        if attributes:
+            clean = canonical.first_rows(edges, [*order, *attributes], directed).drop(*order)
+            clean = clean if directed else canonical.ascending(clean)
+        else:
+            clean = canonical.drop_loops(edges).select("src", "dst").distinct() if directed else canonical.canonicalise(edges)
         return cls(clean, vertices, directed)
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, directed: bool = False, attributes: Sequence[str] = ()) -> Graph:
-        """From text. With attributes, the first row of a repeated pair gives direction and values."""
+    def read(cls, spark: SparkSession, path: str, directed: bool = False, attributes: Sequence[str] | Mapping[str, str] = ()) -> Graph:
+        """From text. With attributes, names or names with their types, the first row of a repeated pair gives the values."""
         rows = edges_from_text(spark, path, attributes)
-        if not attributes:
-            return cls.from_edges(rows, directed)
-        return cls(canonical.first_rows(rows, ["file", "line"]).drop("file", "line"), None, directed)
+        return cls.from_edges(rows, directed, order=("file", "line")) if attributes else cls.from_edges(rows.select("src", "dst"), directed)
 
     def num_vertices(self) -> int:
         return self.vertices.count()
@@ -155,16 +163,25 @@ class Graph:
         return prefix_sums(sizes, "idx", "n"), columns.select("place", "idx", "nbr")
 
 
+#: Rows that one window of :func:`prefix_sums` takes, and the most block sums that are summed up in one task and broadcast.
+SUM_BLOCK = 65536
+
+
 def prefix_sums(rows: DataFrame, place: str, size: str) -> DataFrame:
     """``rows`` with ``start`` and ``end`` in place of ``size``: running sums in the order of the dense number ``place``.
 
-    Numbers are cut into blocks; sums within blocks and a sum over blocks, of which there are few, replace one window over all.
+    Numbers are cut into blocks; sums within blocks and sums over blocks replace one window over all. More than
+    ``SUM_BLOCK`` blocks are summed up in the same way, and joined by shuffle.
     """
-    blocked = rows.withColumn("_b", F.floor(F.col(place) / 65536))
+    blocked = rows.withColumn("_b", F.floor(F.col(place) / SUM_BLOCK))
     inside = F.sum(size).over(W.partitionBy("_b").orderBy(place))
-    sums = blocked.groupBy("_b").agg(F.sum(size).alias("_n"))
-    before = sums.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_before"))
-    joined = blocked.withColumn("_in", inside).join(F.broadcast(before), "_b")
+    sums = materialize(blocked.groupBy("_b").agg(F.sum(size).alias("_n")), "sums")
+    if sums.count() <= SUM_BLOCK:
+        before = F.broadcast(sums.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_before")))
+    else:
+        upper = prefix_sums(sums.select(F.col("_b").alias("block"), "_n"), "block", "_n")
+        before = upper.select(F.col("block").alias("_b"), F.col("start").alias("_before"))
+    joined = blocked.withColumn("_in", inside).join(before, "_b")
     end = F.col("_before") + F.col("_in")
     return joined.select(*(c for c in rows.columns if c != size), (end - F.col(size)).alias("start"), end.alias("end"))
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohesia.runtime import materialize, shuffle_parts
+from cohesia.runtime import materialize, release, shuffle_parts
 
 
 def drop_loops(edges: DataFrame) -> DataFrame:
@@ -23,17 +23,23 @@ def multiplicities(edges: DataFrame) -> DataFrame:
     return drop_loops(edges).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").alias("n"))
 
 
-def first_rows(edges: DataFrame, order: Sequence[str]) -> DataFrame:
-    """For each unordered pair its first row by ``order``, direction and attributes as that row has them.
+def first_rows(edges: DataFrame, order: Sequence[str], directed: bool = False) -> DataFrame:
+    """For each unordered pair, or each ordered one if ``directed``, its first row by ``order``, as that row is.
 
     The least row is an aggregate with map-side combine, so a pair that repeats without end is no hot window.
     """
     rest = [c for c in edges.columns if c not in order]
     picked = F.min(F.struct(*order, *rest)).alias("row")
-    best = drop_loops(edges).groupBy(F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")).agg(picked)
+    ends = (F.col("src"), F.col("dst")) if directed else (F.least("src", "dst"), F.greatest("src", "dst"))
+    best = drop_loops(edges).groupBy(ends[0].alias("_a"), ends[1].alias("_b")).agg(picked)
     return best.select(*(F.col("row").getField(c).alias(c) for c in edges.columns))
 
 
+def ascending(edges: DataFrame) -> DataFrame:
+    """The rows with src < dst, other columns as they are."""
+    return edges.withColumns({"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")})
+
+
 def symmetrise(edges: DataFrame) -> DataFrame:
     """Both directions of each edge, once."""
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -106,6 +112,7 @@ def two_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     for _ in range(max_rounds):
         inner = degrees(old).where("degree > 1").select("id")
         new = materialize(old.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"), "core")
+        release(old)
         left = new.count()
         if left == n:
             return new.select("src", "dst")

@@ -93,10 +93,14 @@ def affected_edges(edges: DataFrame, dying: DataFrame) -> DataFrame:
     return hit.unionByName(more).distinct()
 
 
-def support_after_removal(edges: DataFrame, limit: int) -> DataFrame:
-    """Supports of the edges that stay when all with support of at most ``limit`` go at once.
+def out_intersection_masks(edges: DataFrame) -> DataFrame:
+    """As :func:`intersection_masks` on the edges oriented by (degree, id): every vertex that either end leads to.
 
-    Each destroyed triangle lowers each of its surviving edges once, however many of its edges die.
+    An end leads to sqrt(2E) vertices at most, which bounds the rows; those that both ends lead to are the triangles.
     """
-    s = support(edges)
-    return support(s.where(F.col("support") > limit).select("src", "dst"))
+    o = orient(edges).select("src", "dst")
+    near = o.select(F.col("src").alias("v"), F.col("dst").alias("w"))
+    of_src = o.select("src", "dst", F.col("src").alias("v")).join(near, "v").select("src", "dst", "w", F.lit(1).alias("s"), F.lit(0).alias("d"))
+    of_dst = o.select("src", "dst", F.col("dst").alias("v")).join(near, "v").select("src", "dst", "w", F.lit(0).alias("s"), F.lit(1).alias("d"))
+    both = of_src.unionByName(of_dst).groupBy("src", "dst", "w").agg(F.max("s").alias("s"), F.max("d").alias("d"))
+    return both.select("src", "dst", "w", (F.col("s") == 1).alias("in_src"), (F.col("d") == 1).alias("in_dst"))

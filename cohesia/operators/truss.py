@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cohesia.operators.triangles import triangles, with_edge_ids
-from cohesia.runtime import materialize, release
+from cohesia.runtime import Grown, materialize, release
 
 #: Triangles that one task may finish: three ids each, 48 MB, and about five times that at work.
 LOCAL_BELOW = 2_000_000
@@ -123,35 +123,75 @@ def _by_h_index(g: Listed) -> DataFrame:
     return values.select("e", (F.col("v") + 2).cast("int").alias("trussness"))
 
 
-def trussness_peel(edges: DataFrame, local_below: int = 0) -> DataFrame:
-    """Level by level: the level jumps to the least support, its edges die at once, and dead triangles lower the rest."""
+def trussness_peel(edges: DataFrame, local_below: int = 0, stop: int | None = None) -> DataFrame:
+    """Level by level: the level jumps to the least support, its edges die at once, and dead triangles lower the rest.
+
+    Dead edges go to one table, round by round, so the plan stays as small as it was. With ``stop``, peeling ends once that
+    trussness is done, and edges that outlast it get ``stop + 1``.
+    """
     g = Listed.of(edges)
+    return g.labelled(_by_peeling(g, local_below, stop), "trussness", 2)
+
+
+def _by_peeling(g: Listed, local_below: int = 0, stop: int | None = None) -> DataFrame:
     tri, counts = g.triangles, materialize(_counts(g.triangles), "counts")
-    done, l, n = [], 0, g.n_triangles
+    dead, l, n = Grown(g.edges.sparkSession, "e long, trussness int", "dead"), 0, g.n_triangles
     while n > local_below:
         l = max(l, counts.agg(F.min("s")).first()[0])
+        if stop is not None and l + 2 > stop:
+            break
+        old = tri, counts
         tri, counts, dying, n = _round(tri, counts, l)
-        done.append(dying.select("e", F.lit(l + 2).alias("trussness")))
-    if done:  # edges left, in triangles or in none, last at least as long as the level reached
-        rest = counts.select("e").join(_in_one_task(tri), "e", "left")
-        done.append(rest.select("e", F.greatest(F.coalesce("trussness", F.lit(0)), F.lit(l + 2)).alias("trussness")))
-    if not done:
-        return g.labelled(_in_one_task(tri), "trussness", 2)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return g.labelled(out, "trussness", 2)
+        dead.append(dying)
+        release(dying, *(t for t in old if t is not g.triangles))
+    # edges left, in triangles or in none, last at least as long as the level reached
+    if n > local_below:
+        dead.append(counts.select("e", F.lit(stop + 1).alias("trussness")))
+    else:
+        rest = counts.select("e").join(_in_one_task(tri, None if stop is None else stop - 2), "e", "left")
+        dead.append(rest.select("e", F.greatest(F.coalesce("trussness", F.lit(0)), F.lit(l + 2)).cast("int").alias("trussness")))
+    return dead.table()
+
+
+def _marked(tri: DataFrame, dying: DataFrame) -> DataFrame:
+    """The triangles with ``d1``, ``d2``, ``d3``: which of their edges are in ``dying(e)``."""
+    for i, side in enumerate(_SIDES, 1):
+        gone = dying.select(F.col("e").alias(f"_{i}"))
+        tri = tri.join(gone, F.col(side) == F.col(f"_{i}"), "left").withColumn(f"d{i}", F.col(f"_{i}").isNotNull()).drop(f"_{i}")
+    return tri
+
+
+_DESTROYED, _SURVIVING = "d1 or d2 or d3", "not (d1 or d2 or d3)"
+
+
+def _lowered(counts: DataFrame, marked: DataFrame) -> DataFrame:
+    """``counts(e, s)`` of surviving edges less the destroyed triangles: each lowers each of its surviving edges once."""
+    sides = F.array(*(F.when(~F.col(f"d{i}"), F.col(side)) for i, side in enumerate(_SIDES, 1)))
+    lost = marked.where(_DESTROYED).select(F.explode(sides).alias("e")).where("e is not null").select("e", F.lit(-1).alias("s"))
+    return counts.select("e", "s").unionByName(lost).groupBy("e").agg(F.sum("s").cast("int").alias("s"))
+
+
+def support_after_removal(edges: DataFrame, limit: int) -> DataFrame:
+    """``(src, dst, support)`` of the edges that stay when all with support of at most ``limit`` go at once.
+
+    Triangles are listed once; those that lose an edge are destroyed, and only they lower counts.
+    """
+    g = Listed.of(edges)
+    counts = materialize(_counts(g.triangles), "counts")
+    stay = counts.where(F.col("s") > limit)
+    left = _lowered(stay, _marked(g.triangles, counts.where(F.col("s") <= limit)))
+    if limit >= 0:  # edges in no triangle go too
+        return g.edges.join(left, "e").select("src", "dst", F.col("s").alias("support"))
+    return g.labelled(left, "s", 0).withColumnRenamed("s", "support")
 
 
 def _round(tri: DataFrame, counts: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Remove the edges of at most ``level``: (triangles left, counts of the edges left, edges removed, number of triangles left)."""
-    dying = materialize(counts.where(F.col("s") <= level).select("e"), "dying")
-    left = tri
-    for side in _SIDES:
-        left = left.join(dying.withColumnRenamed("e", side), side, "left_anti")
-    left = materialize(left.select(*_SIDES), "triangles")
-    stay = counts.where(F.col("s") > level).select("e", F.lit(0).alias("s"))
-    again = materialize(_counts(left).unionByName(stay).groupBy("e").agg(F.sum("s").cast("int").alias("s")), "counts")
+    dying = materialize(counts.where(F.col("s") <= level).select("e", F.lit(level + 2).alias("trussness")), "dying")
+    marked = materialize(_marked(tri, dying), "marked")
+    left = materialize(marked.where(_SURVIVING).select(*_SIDES), "triangles")
+    again = materialize(_lowered(counts.where(F.col("s") > level), marked), "counts")
+    release(marked)
     return left, again, dying, left.count()
 
 
@@ -165,11 +205,12 @@ def k_truss(edges: DataFrame, k: int, local_below: int = LOCAL_BELOW) -> DataFra
         before = None
         while n > local_below and n != before:
             before = n
-            weak = _counts(tri).where(F.col("s") < k - 2).select("e")
-            weak = materialize(weak, "dying")
+            weak = materialize(_counts(tri).where(F.col("s") < k - 2).select("e"), "dying")
+            old = tri
             for side in _SIDES:
                 tri = tri.join(weak.withColumnRenamed("e", side), side, "left_anti")
             tri = materialize(tri.select(*_SIDES), "triangles")
+            release(weak, old)
             n = tri.count()
         if n <= local_below:
             kept = _in_one_task(tri, k - 3).where(F.col("trussness") >= k).select("e")
@@ -197,9 +238,19 @@ def layers(edges: DataFrame, with_empty: bool = False) -> DataFrame:
     return sizes.select("trussness", "edges", (end - F.col("edges")).alias("start"), end.alias("end"))
 
 
-def trussness_between(edges: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
-    """Edges whose trussness is from ``low`` to ``high``, both included."""
-    found = trussness(edges)
-    if low is not None:
-        found = found.where(F.col("trussness") >= low)
-    return found if high is None else found.where(F.col("trussness") <= high)
+def trussness_between(edges: DataFrame, low: int | None = None, high: int | None = None, local_below: int = LOCAL_BELOW) -> DataFrame:
+    """Edges whose trussness is from ``low`` to ``high``, both included.
+
+    Nothing else is decomposed: the edges from ``low`` on are those of that truss, inside which trussness is the same as in
+    the whole graph, and peeling stops after ``high``.
+    """
+    if low is not None and low > 2:
+        edges = materialize(k_truss(edges, low, local_below), "truss")
+    if high is None:
+        found = trussness(edges, local_below)
+    else:
+        g = Listed.of(edges)
+        one = g.n_triangles <= local_below
+        found = g.labelled(_in_one_task(g.triangles, high - 2) if one else _by_peeling(g, local_below, high), "trussness", 2)
+        found = found.where(F.col("trussness") <= high)
+    return found if low is None else found.where(F.col("trussness") >= low)

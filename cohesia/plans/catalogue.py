@@ -5,6 +5,7 @@ Unless a query says otherwise its graph is that of parts with returned line item
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohesia.functions import balance, ragged
 from cohesia.operators import canonical, sets, triangles, truss
 from cohesia.operators.access import Graph
-from cohesia.sources.edges import pairs_within, part_graph
+from cohesia.runtime import work_dir
+from cohesia.sources.edges import pairs_within, part_graph, write_edge_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -284,6 +286,15 @@ def neighbour_intersection_masks(spark, d):
     return triangles.intersection_masks(part_graph(spark, d))
 
 
+@query(with_(G, BOTH, DEG, RANK) + """, o AS (SELECT CASE WHEN a.idx < b.idx THEN src ELSE dst END AS src, CASE WHEN a.idx < b.idx THEN dst ELSE src END AS dst
+  FROM g JOIN ranked a ON a.id = src JOIN ranked b ON b.id = dst)
+SELECT src, dst, w, max(s) = 1 AS in_src, max(t) = 1 AS in_dst FROM (
+  SELECT o.src, o.dst, n.dst AS w, 1 AS s, 0 AS t FROM o JOIN o n ON n.src = o.src UNION ALL SELECT o.src, o.dst, n.dst, 0, 1 FROM o JOIN o n ON n.src = o.dst
+) GROUP BY src, dst, w""")
+def out_neighbour_intersection_masks(spark, d):
+    return triangles.out_intersection_masks(part_graph(spark, d))
+
+
 _A = f"a AS ({_graph_sql('A')})"
 
 
@@ -312,6 +323,32 @@ def edge_support(spark, d):
     return triangles.support(part_graph(spark, d))
 
 
+def _noisy_text(spark, d) -> str:
+    """The graph as text: each edge in two rows next to each other, the second reversed and with another attribute, plus loops."""
+    path = f"{work_dir(spark)}/edges-{uuid.uuid4().hex}"
+    e = part_graph(spark, d)
+    turned = (F.col("src") + F.col("dst")) % 3 == 0
+    a, b = F.when(turned, F.col("dst")).otherwise(F.col("src")), F.when(turned, F.col("src")).otherwise(F.col("dst"))
+    gap, name = F.col("dst") - F.col("src"), F.concat(F.lit("e"), F.col("src"))
+    rows = F.array(F.struct(a.alias("a"), b.alias("b"), gap.alias("gap"), name.alias("name")), F.struct(b.alias("a"), a.alias("b"), (gap + 1000).alias("gap"), F.lit("late").alias("name")), F.struct(a.alias("a"), a.alias("b"), gap.alias("gap"), name.alias("name")))
+    write_edge_text(e.select(F.inline(rows)), path)
+    return path
+
+
+@query(_S + "SELECT src, dst, (dst - src)::INTEGER AS gap, 'e' || src AS name, support FROM s")
+def support_of_text_graph(spark, d):
+    """From text with reversed and repeated rows and two attributes of different types to supports."""
+    g = Graph.read(spark, _noisy_text(spark, d), attributes={"gap": "int", "name": "string"})
+    return triangles.support(g.edges).join(g.edges, ["src", "dst"])
+
+
+@query(with_(G) + "SELECT CASE WHEN (src + dst) % 3 = 0 THEN dst ELSE src END AS src, CASE WHEN (src + dst) % 3 = 0 THEN src ELSE dst END AS dst, dst - src AS gap FROM g UNION ALL SELECT CASE WHEN (src + dst) % 3 = 0 THEN src ELSE dst END, CASE WHEN (src + dst) % 3 = 0 THEN dst ELSE src END, dst - src + 1000 FROM g")
+def directed_text_graph(spark, d):
+    """The same text read as a directed graph: both directions stay, each with its own attribute."""
+    g = Graph.read(spark, _noisy_text(spark, d), directed=True, attributes={"gap": "bigint", "name": "string"})
+    return g.edges.drop("name")
+
+
 @query(_S + "SELECT support, count(*) AS edges FROM s GROUP BY support")
 def support_histogram(spark, d):
     return triangles.support_histogram(part_graph(spark, d))
@@ -343,7 +380,7 @@ t2 AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM g2 x JOIN g2 y ON x.dst =
   SELECT src, dst, count(*) AS n FROM (SELECT a AS src, b AS dst FROM t2 UNION ALL SELECT a, c FROM t2 UNION ALL SELECT b, c FROM t2) GROUP BY 1, 2
 ) USING (src, dst)""")
 def support_after_removal(spark, d):
-    return triangles.support_after_removal(part_graph(spark, d), 1)
+    return truss.support_after_removal(part_graph(spark, d), 1)
 
 
 # truss
@@ -448,6 +485,11 @@ def level_split_relative_cost(spark, d):
     return balance.split_by_relative_cost(triangles.support(part_graph(spark, d)))
 
 
+@query(with_(G, TRI, SUP, _LEVELS, "c AS (SELECT max(edges)::BIGINT // 3 * 2 AS n FROM lv)", "ends AS (SELECT (SELECT min(l) FROM lv WHERE below >= n) AS a, (SELECT min(l) FROM lv, c WHERE below >= n + n // 3) AS b, (SELECT min(l) FROM lv, c WHERE below >= least(n + n // 3 + (n + n // 3) // 3, edges)) AS e FROM c)", "x AS (SELECT greatest(a, 2) AS a, b, e FROM ends)", "y AS (SELECT a, CASE WHEN b > a THEN b ELSE a + 2 END AS b, e FROM x)") + "SELECT unnest([0, 1, 2])::BIGINT AS part, unnest([a, b, CASE WHEN e > b THEN e ELSE b + 2 END])::BIGINT AS level FROM y")
+def level_splits_for_four_parts(spark, d):
+    return balance.split_for_parts(triangles.support(part_graph(spark, d)), 4)
+
+
 @query(_S + "SELECT l, count(*) FILTER (support < l) AS edges FROM s, (SELECT unnest([1, 2, 4, 8]) AS l) GROUP BY l")
 def edges_below_support(spark, d):
     s = triangles.support(part_graph(spark, d))
@@ -461,7 +503,16 @@ def round_robin_partition(spark, d):
     return balance.round_robin(ranked, 4).select("id", "degree", "part")
 
 
-@query()
+@query("""WITH RECURSIVE it AS (
+  SELECT c_nationkey AS nation, count(*) AS customers, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS i FROM customer GROUP BY 1
+), r AS (
+  SELECT 0::BIGINT AS i, [0, 0, 0, 0]::BIGINT[] AS loads, (SELECT min(nation) FROM it) AS nation, NULL::BIGINT AS customers, NULL::BIGINT AS part
+  UNION ALL
+  SELECT it.i, list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + it.customers ELSE x END),
+         it.nation, it.customers, list_position(loads, list_min(loads)) - 1
+  FROM r JOIN it ON it.i = r.i + 1
+)
+SELECT nation, customers, part FROM r WHERE i > 0""")
 def lpt_partition(spark, d):
     loads = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
     return balance.lpt_partition(loads, "nation", "customers", 4)
@@ -484,6 +535,17 @@ def equal_cost_batches(spark, d):
     return balance.equal_cost_batches(canonical.rank_by_degree(part_graph(spark, d)), "idx", "degree", 1000)
 
 
-@query()
+def _propagation_sql(rounds: int, parts: int) -> str:
+    steps = ["l0 AS (SELECT id, id AS label FROM deg)"]
+    for i in range(rounds):
+        heard = f"SELECT v AS id, label FROM both_ways JOIN l{i} ON id = w UNION ALL SELECT id, label FROM l{i}"
+        steps.append(f"""l{i + 1} AS MATERIALIZED (SELECT id, label FROM (
+  SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, label) AS k FROM ({heard}) GROUP BY id, label) WHERE k = 1)""")
+    dealt = f"""dealt AS (SELECT label, CASE WHEN t < {parts} THEN t ELSE {2 * parts - 1} - t END AS part FROM (
+  SELECT label, (row_number() OVER (ORDER BY count(*) DESC, label) - 1) % {2 * parts} AS t FROM l{rounds} GROUP BY label))"""
+    return with_(G, BOTH, DEG, *steps, dealt) + f"SELECT DISTINCT src, dst, part FROM g JOIN l{rounds} ON id = src OR id = dst JOIN dealt USING (label)"
+
+
+@query(_propagation_sql(5, 4))
 def community_partition(spark, d):
     return balance.community_partition(part_graph(spark, d), 4)

@@ -107,5 +107,24 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str = "resu
             _delete(spark, path)
 
 
+class Grown:
+    """A table in the shared folder that rounds append to; a round that is run again after a failure leaves no half of a write."""
+
+    def __init__(self, spark: SparkSession, schema: str, tag: str):
+        self.spark, self.path, self.parts = spark, f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+        self.schema = schema
+        if (scope := _SCOPE.get()) is not None:
+            scope.append(self.path)
+
+    def append(self, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/part={self.parts}")
+        self.parts += 1
+
+    def table(self) -> DataFrame:
+        if not self.parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/part={i}" for i in range(self.parts)))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def edges_from_text(spark: SparkSession, path: str, attributes: Sequence[str] = (), attribute_type: str = "double", comment: str = "#") -> DataFrame:
+def edges_from_text(spark: SparkSession, path: str, attributes: Sequence[str] | Mapping[str, str] = (), comment: str = "#") -> DataFrame:
     """``(src, dst, *attributes, file, line)`` from white-space separated text without a header.
 
-    Comments, whole-line or trailing, and blank lines are skipped. A token that is no number of its column's type is an
-    error. ``file`` and ``line`` (order within the file) tell which of several rows came first.
+    Attributes are names, then all are doubles, or names with their types. What follows ``comment``, and blank lines, are
+    skipped. A token that is no value of its column's type is an error. ``file`` and ``line`` tell which of several
+    rows came first: line is where the row's split of the file starts and the row's order inside the split.
     """
+    kinds = dict(attributes) if isinstance(attributes, Mapping) else dict.fromkeys(attributes, "double")
     lines = spark.read.text(path).select(
-        F.trim(F.regexp_replace(F.split("value", comment, 2)[0], r"\s+", " ")).alias("value"),
+        F.trim(F.regexp_replace(F.substring_index("value", comment, 1), r"\s+", " ")).alias("value"),
         F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line"),
+        F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("line"),
     )
     cells = F.split("value", " ")
     columns = [cells[0].cast("long").alias("src"), cells[1].cast("long").alias("dst")]
-    columns += [cells[i].cast(attribute_type).alias(name) for i, name in enumerate(attributes, 2)]
+    columns += [cells[i].cast(kind).alias(name) for i, (name, kind) in enumerate(kinds.items(), 2)]
     return lines.where("value <> ''").select(*columns, "file", "line")
 
 

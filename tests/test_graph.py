@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohesia.functions import balance, ragged
 from cohesia.operators import canonical, sets, triangles, truss
+from cohesia.operators import access
 from cohesia.operators.access import Graph, prefix_sums
 from cohesia.sources import edges as sources
 
@@ -114,6 +115,26 @@ def test_random_graph_by_all_methods(spark):
     assert rows(triangles.support(df), "src", "dst", "support") == sorted((*e, s) for e, s in brute_supports(edges).items())
 
 
+def test_ranges_and_removal_without_a_single_task(spark):
+    """The paths by DataFrame rounds: peeling that stops, ranges, k-truss and supports after a removal, against brute force."""
+    rng = random.Random(9)
+    edges = sorted({tuple(sorted(rng.sample(range(20), 2))) for _ in range(80)})
+    df, truth = frame(spark, edges), brute_trussness(edges)
+    want = sorted((*e, t) for e, t in truth.items() if 3 <= t <= 4)
+    for below in (0, 10**6):
+        assert rows(truss.trussness_between(df, 3, 4, local_below=below), "src", "dst", "trussness") == want
+    assert rows(truss.trussness_between(df, high=3, local_below=0), "src", "dst", "trussness") == sorted((*e, t) for e, t in truth.items() if t <= 3)
+    supports = brute_supports(edges)
+    for limit in (-1, 0, 1, 2):
+        left = [e for e in edges if supports[e] > limit]
+        assert rows(truss.support_after_removal(df, limit), "src", "dst", "support") == sorted((*e, n) for e, n in brute_supports(left).items())
+
+
+def test_out_intersection_masks_give_the_triangles(spark, golden):
+    masks = triangles.out_intersection_masks(golden)
+    assert masks.where("in_src and in_dst").count() == 24 == triangles.triangle_list(golden).count()
+
+
 def test_cleaning(spark):
     noisy = frame(spark, [(2, 1), (1, 2), (1, 2), (3, 3), (2, 5)])
     assert rows(canonical.canonicalise(noisy), "src", "dst") == [(1, 2), (2, 5)]
@@ -131,6 +152,38 @@ def test_text_round_trip(spark, tmp_path):
     assert rows(sources.read_edges(spark, str(tmp_path / "p")), "src", "dst") == [(1, 2), (3, 4)]
 
 
+def test_text_to_graph(spark, tmp_path):
+    """Reversed and repeated rows with attributes of two types; undirected edges ascend, so supports are right."""
+    (tmp_path / "g.txt").write_text("2 1 7 x\n1 2 8 y\n3 2 9 z\n3 1 4 u\n3 1 5 v\n4 4 1 w\n")
+    kinds = {"n": "int", "name": "string"}
+    g = Graph.read(spark, str(tmp_path / "g.txt"), attributes=kinds)
+    assert rows(g.edges, "src", "dst", "n", "name") == [(1, 2, 7, "x"), (1, 3, 4, "u"), (2, 3, 9, "z")]
+    assert dict(g.edges.dtypes)["n"] == "int" and rows(triangles.support(g.edges), "src", "dst", "support") == [(1, 2, 1), (1, 3, 1), (2, 3, 1)]
+    d = Graph.read(spark, str(tmp_path / "g.txt"), directed=True, attributes=kinds)
+    assert rows(d.edges, "src", "dst", "n") == [(1, 2, 8), (2, 1, 7), (3, 1, 4), (3, 2, 9)]
+    assert rows(Graph.read(spark, str(tmp_path / "g.txt"), directed=True).edges, "src", "dst") == [(1, 2), (2, 1), (3, 1), (3, 2)]
+    built = Graph.from_edges(spark.createDataFrame([(2, 1, "b"), (1, 2, "a")], "src long, dst long, w string"))
+    assert rows(built.edges, "src", "dst", "w") == [(1, 2, "a")]
+    vertices = built.vertices.withColumn("size", F.col("id") * 10)
+    assert rows(Graph(built.edges, vertices).vertex_attribute(spark.createDataFrame([(2,)], "id long"), "size"), "id", "size") == [(2, 20)]
+
+
+def test_measurements(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("graph,a,b.c\nRN,0.5,1\nA0,,2\n")
+    assert sorted(map(tuple, sources.read_measurements(spark, str(tmp_path / "m.csv")).collect())) == [("A0", None, 2.0), ("RN", 0.5, 1.0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from cohesia.__main__ import main
+
+    (tmp_path / "g.txt").write_text("\n".join(f"{a} {b}" for a, b in complete(4)))
+    assert main(["--graph", str(tmp_path / "g.txt"), "--output", str(tmp_path / "o")]) == 0
+    assert "k_max 4" in capsys.readouterr().out
+    assert rows(spark.read.parquet(str(tmp_path / "o")), "src", "dst", "trussness") == [(*e, 4) for e in complete(4)]
+    assert main(["--graph", str(tmp_path / "g.txt"), "--output", str(tmp_path / "k"), "--k", "5"]) == 0
+    assert spark.read.parquet(str(tmp_path / "k")).count() == 0
+
+
 def test_csr_round_trip(spark, tmp_path, golden):
     sources.write_csr(Graph(golden), str(tmp_path / "csr"))
     offsets, columns = sources.read_csr(spark, str(tmp_path / "csr"))
@@ -166,7 +219,7 @@ def test_two_core(spark):
     assert rows(canonical.two_core(frame(spark, complete(3) + [(2, 9), (9, 8), (20, 21)])), "src", "dst") == complete(3)
 
 
-def test_ragged(spark):
+def test_ragged(spark, monkeypatch):
     ranges = spark.createDataFrame([(0, 0, 2), (1, 2, 5), (2, 5, 9), (3, 18, 21), (4, 3, 3)], "row long, start long, end long")
     assert [r.value for r in ragged.expand_ranges(ranges).orderBy("row", "value").collect()] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 18, 19, 20]
     lists = ranges.select("row", ragged.range_array(F.col("start"), F.col("end")).alias("v"))
@@ -179,6 +232,9 @@ def test_ragged(spark):
     assert rows(ragged.segment_sum(values, segments, "k", "v"), "k", "total") == [(0, 6), (1, 9), (2, 21), (3, 0)]
     sums = prefix_sums(spark.createDataFrame([(i, 2) for i in range(5)], "p long, n long"), "p", "n")
     assert rows(sums, "p", "start", "end") == [(i, 2 * i, 2 * i + 2) for i in range(5)]
+    monkeypatch.setattr(access, "SUM_BLOCK", 3)  # blocks of blocks
+    sums = prefix_sums(spark.createDataFrame([(i, i % 4) for i in range(40)], "p long, n long"), "p", "n")
+    assert rows(sums, "p", "start") == [(i, sum(k % 4 for k in range(i))) for i in range(40)]
 
 
 def test_balance(spark):
@@ -189,6 +245,9 @@ def test_balance(spark):
     assert balance.split_by_nonzero_edges(s).first()[0] == 3
     assert balance.split_by_triangles(s).first()[0] == 9
     assert balance.split_by_cost(s.limit(0)).collect() == []
+    assert [tuple(r) for r in balance.split_for_parts(s, 4).collect()] == [(0, 2), (1, 4), (2, 6)]  # where 4, 5 and 6 edges are below, but increasing
+    assert [tuple(r) for r in balance.split_for_parts(s.where("support = 0"), 3).collect()] == [(0, 2), (1, 4)]
+    assert balance.split_for_parts(s.limit(0), 4).collect() == [] == balance.split_for_parts(s, 1).collect()
     items = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "k string, w long")
     assert rows(balance.lpt_partition(items, "k", "w", 2), "k", "part") == [("a", 0), ("b", 1), ("c", 1)]
 
@@ -203,6 +262,9 @@ def test_membership(spark):
 def test_community_partition_covers_all_edges(spark, golden):
     placed = balance.community_partition(golden, 3)
     assert rows(placed.select("src", "dst").distinct(), "src", "dst") == [g[:2] for g in GOLDEN]
+    apart = frame(spark, [(10 * i + a, 10 * i + b) for i in range(6) for a, b in complete(4)])
+    parts = rows(balance.community_partition(apart, 3).groupBy("part").count(), "part", "count")
+    assert parts == [(0, 12), (1, 12), (2, 12)]
 
 
 def test_edge_stream(spark, tmp_path):
