@@ -61,9 +61,11 @@ def _count_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         for data in byte_rows(batch.column(0)):
-            for at in range(0, len(data or b""), _CHUNK):
-                c = np.concatenate([[0, 0], _CLASS[np.frombuffer(data[max(0, at - 2) : at + _CHUNK], np.uint8)], [0]]).astype(np.int32)
-                c = c if at == 0 else c[2:]
+            size = len(data or b"")
+            for at in range(0, size, _CHUNK):
+                c = _CLASS[np.frombuffer(data[max(0, at - 2) : at + _CHUNK], np.uint8)]
+                ends = [0] if at + _CHUNK >= size else []  # a text ends in a space, a piece doesn't
+                c = np.concatenate([[] if at else [0, 0], c, ends]).astype(np.int32)
                 waiting.append((c[:-2] * SYMBOLS + c[1:-1]) * SYMBOLS + c[2:])
                 held += len(c)
                 if held >= _CHUNK:
