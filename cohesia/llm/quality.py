@@ -21,7 +21,7 @@ from cohesia.runtime import materialize
 ORDER, QUANTILE, HELD_OUT = 5, 0.99, 5
 #: Grams that a task holds before it passes their counts on, and bytes of text taken at a time.
 _HELD, _CHUNK = 1 << 22, 1 << 22
-#: The most grams whose probabilities are broadcast (48 bytes each in the table); more are joined by shuffle.
+#: The most grams whose probabilities are broadcast (up to 64 bytes each in the table); more are joined by shuffle.
 BROADCAST_GRAMS = 4_000_000
 #: The most trusted ids that are broadcast.
 BROADCAST_IDS = 4_000_000
@@ -121,7 +121,7 @@ class GramTable:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
         at = self._home(keys)
         while len(keys):
             free = self.keys[at] == -1
@@ -202,7 +202,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     logp = probabilities(counted)
     if counted.count() <= broadcast_grams:
         known_grams = logp.toArrow()
-        table = GramTable(known_grams["g"].to_numpy(), known_grams["logp"].to_numpy().astype(np.float32))
+        table = GramTable(known_grams["g"].to_numpy(), known_grams["logp"].to_numpy())
         shared = docs.sparkSession.sparkContext.broadcast(table)
         scored = rows.select("doc_id", "lang", "text", held_out.alias("trusted")).mapInArrow(_scorer(shared), "doc_id long, lang string, entropy double, trusted boolean")
     else:
