@@ -108,15 +108,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """One row per row of ``docs``: doc_id, text_hash, fingerprint, component_id, keeper.
 
     fingerprint is in 16 lower-case hex digits. component_id is the least doc_id that links reach. keeper is true for
-    one row key (doc_id, text_hash) of each class: the least. A null or empty text has fingerprint zero and links
-    like any other. A row without doc_id counts in its class but never names it: component_id is null where no
-    row of the class has an id; keeper is then true. Rows repeating an id are judged each by its own text. An
+    one row key (doc_id, text_hash) of each class: the least, a null id last. A null or empty text has fingerprint zero and
+    links like any other. A row without doc_id never names its class: component_id is null where no row of the class has
+    an id. Rows repeating an id are judged each by its own text. An
     empty table gives an empty result. Other columns are not read. With ``similarity``, texts whose sets of distinct
     runs of ``similar_shingle`` words have at least that Jaccard similarity link too, whatever their fingerprints.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fp")
-    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
-    distinct = materialize(prints.groupBy("fp").agg(F.min(named).alias("first")), "fps")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")  # rows without an id come last
+    distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("first")), "fps")
     linked = links(distinct.select("fp"))
     if similarity is not None:
         names = materialize(prints.select(F.col("text_hash").alias("h"), F.col("fp").alias("node")).distinct(), "names")
@@ -128,26 +128,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     )
     named_by = labelled.groupBy("label").agg(F.min("first").alias("least"))
     by_print = labelled.join(named_by, "label").select("fp", "least")
-    same = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
     return prints.join(by_print, "fp").select(
         "doc_id",
         "text_hash",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("least.doc_id").alias("component_id"),
-        F.coalesce(same, F.col("doc_id").isNull()).alias("keeper"),
+        same.alias("keeper"),
     )
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, similar_shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate class (see :func:`classes`), all columns as they are.
 
-    The row with the least (doc_id, hash of the text) stays; of rows that repeat both, one. Rows without an id stay.
+    The row with the least (doc_id, hash of the text) stays, a null id last; of rows that repeat both, one.
     """
-    found = materialize(classes(docs, id_col, text_col, similarity, similar_shingle).where("keeper and doc_id is not null").select("doc_id", "text_hash"), "keep")
+    found = materialize(classes(docs, id_col, text_col, similarity, similar_shingle).where("keeper").select("doc_id", "text_hash"), "keep")
     repeats = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
     keys = found.distinct().select(F.col("doc_id").alias("_k1"), F.col("text_hash").alias("_k2")).hint("shuffle_hash")
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_i"), F.xxhash64(F.col(text_col)).alias("_h"))
-    kept = rows.where("_i is not null").join(keys, (F.col("_i") == F.col("_k1")) & (F.col("_h") == F.col("_k2")), "left_semi")
+    kept = rows.join(keys, F.col("_i").eqNullSafe(F.col("_k1")) & (F.col("_h") == F.col("_k2")), "left_semi")
     if repeats:
         kept = kept.dropDuplicates(["_i", "_h"])
-    return kept.unionByName(rows.where("_i is null")).select("_row.*")
+    return kept.select("_row.*")
