@@ -404,13 +404,29 @@ def test_secrets_keep_base(spark):
 
 def brute_top(rows, every, k):
     out = []
-    for q, x in rows:
+    for n, (q, x) in enumerate(rows):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in rows if c != q)[:k]
-            out += [(q, i, c, -s) for i, (s, c) in enumerate(scored, 1)]
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), c) for m, (c, y) in enumerate(rows) if m != n)[:k]
+            out += [(q, i, c, max(-(2**63), min(2**63 - 1, -s))) for i, (s, c) in enumerate(scored, 1)]
     return sorted(out)
 
 
+def test_top_k_counts_rows_not_ids(spark):
+    """Ids that repeat with equal and with other vectors, an extra column with an operator's name, scores beyond 64 bits."""
+    from cohesia.llm import topk
+
+    rng = np.random.default_rng(19)
+    rows = [(int(i), [float(x) for x in rng.normal(size=4)]) for i in (50, 50, 51, 100, 100, 7, 8, 9, 50)]
+    rows += [rows[0], rows[0], rows[3], (7, rows[5][1])]
+    for scale in (1.0, 1e30):
+        scaled = [(i, [x * scale for x in v]) for i, v in rows]
+        df = spark.createDataFrame([(*r, "x", 1) for r in scaled], "vec_id long, embedding array<double>, place string, q int")
+        whole = [(i, [math.floor(256 * x) if abs(256 * x) < 2**62 else int(256 * x) for x in v]) for i, v in scaled]
+        assert sorted(map(tuple, topk.top_k(df).collect())) == brute_top(whole, 50, 5)
+    keys = [-(10**30), -11, -10, -9, 0, 5, 10, 10**25]
+    assert sorted(keys, key=topk._order) == keys
+
+
 @pytest.mark.parametrize(("scale", "shard"), [(1.0, 8192), (0.01, 16), (1e6, 8192)])
 def test_top_k(spark, monkeypatch, scale, shard):
     from cohesia.llm import topk
@@ -611,7 +627,7 @@ def test_mixing_deals_unequal_inclusion(spark):
     sizes = {"a": lengths[:63], "b": lengths[63:]}
     target = brute_targets({s: sum(n) for s, n in sizes.items()}, (1, 1), 3)
     expected = {s: brute_expected(n, target[s]) for s, n in sizes.items()}
-    seeds, taken = 40, Counter()
+    seeds, taken = 16, Counter()
     for seed in range(seeds):
         words = Counter()
         for r in sample(df, weights=(1, 1), seed=str(seed)).collect():
@@ -641,51 +657,80 @@ def test_mixing_of_a_capped_source(spark):
 # licences
 
 
-def test_license_model_on_held_out_wording():
-    from cohesia.llm.license_texts import FAMILIES
-    from cohesia.llm.licenses import CLASSES, MIN_PROBABILITY, _softmax, model, ngrams
-
-    vocabulary, weights, bias, temperature = model()
-    fresh = {
-        "apache": "The code here is licensed under the Apache License 2.0",
-        "mit": "This library is released under the MIT License",
-        "gpl": "You can redistribute it under the GNU General Public License version 2",
-        "cc-by-nc": "The figures are licensed under CC BY-NC 4.0",
-        "cc-by-sa": "Licensed under the Creative Commons Attribution-ShareAlike 4.0 License",
-        "mpl": "Subject to the Mozilla Public License version 2.0",
-        "unknown": "The council will license three new taxis next spring",
-    }
-    assert set(CLASSES) == {"unknown", *FAMILIES}
-    for family, text in fresh.items():
-        gs = ngrams(text)
-        x = np.zeros(len(vocabulary))
-        x[[vocabulary[g] for g in gs if g in vocabulary]] = 1 / len(gs) ** 0.5
-        p = _softmax(((x @ weights + bias) / temperature)[None])[0]
-        best = CLASSES[int(p.argmax())] if p[1:].max() >= MIN_PROBABILITY else "unknown"
-        assert best == family, (family, best, p.max())
-
-
-def test_license_scan_matches_model(spark):
-    from cohesia.llm.license_texts import DECOYS, FAMILIES
-    from cohesia.llm.licenses import CLASSES, _softmax, model, ngrams, scan_licenses
-
-    lines = [t for texts in FAMILIES.values() for t in texts] + list(DECOYS) + ["license", "Mit freundlichem", "nothing here"]
-    text = "\n".join(["first line", *lines])
-    found = {r.paragraph: r for r in scan_licenses(docs_frame(spark, [text, None, ""])).collect()}
-    vocabulary, weights, bias, temperature = model()
-    for i, line in enumerate(lines, 1):
+def plain_judge(text, m, common):
+    """(family, its probability) by the definition: one loop over distinct words and pairs, one softmax."""
+    words, seen = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower()), set()
+    for i, w in enumerate(words):
+        if w not in common:
+            seen.add(w)
+        if i and not (w in common and words[i - 1] in common):
+            seen.add(f"{words[i - 1]} {w}")
+    z = [float(b) for b in m.bias]
+    for g in seen & m.vocabulary.keys():
+        for k, v in enumerate(m.weights[m.vocabulary[g]]):
+            z[k] += v / math.sqrt(len(seen))
+    e = [math.exp(v - max(z)) for v in z]
+    best = max(range(1, len(z)), key=lambda k: e[k])
+    return best, e[best] / sum(e), seen
+
+
+def test_license_model_on_wordings_kept_apart():
+    """Precision and recall of every family on ways of stating, windows and decoys that neither training nor calibration saw."""
+    from cohesia.llm.license_texts import COMMON_WORDS
+    from cohesia.llm.licenses import CLASSES, MIN_PROBABILITY, examples, model
+
+    parts = {p: {t for _, t in examples(p)} for p in ("train", "calibrate", "measure")}
+    assert not parts["train"] & parts["measure"] and not parts["calibrate"] & parts["measure"]
+    corpus = ("This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "Licensed under CC BY-NC 4.0", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0")
+    assert not parts["train"] & set(corpus) and not parts["calibrate"] & set(corpus)
+    hit, named, there = Counter(), Counter(), Counter()
+    for family, text in examples("measure"):
+        best, p, _ = plain_judge(text, model(), COMMON_WORDS)
+        found = CLASSES[best] if p >= MIN_PROBABILITY else "unknown"
+        hit[family] += found == family
+        named[found] += 1
+        there[family] += 1
+    for family in CLASSES[1:]:
+        assert hit[family] >= 0.9 * named[family] and hit[family] >= 0.9 * there[family], family
+    assert hit["unknown"] >= 0.9 * there["unknown"]
+
+
+def test_license_scan_matches_plain_scorer(spark):
+    from cohesia.llm.license_texts import COMMON_WORDS
+    from cohesia.llm.licenses import CLASSES, MIN_PROBABILITY, examples, model, scan_licenses, templates
+
+    rng, m = random.Random(17), model()
+    words = [*m.anchors(), *COMMON_WORDS, *(f"word{i}" for i in range(60))]
+    lines = [t for _, t in examples("measure")[::7]] + ["", "nothing here", "Distributed under GPLv3.", "LGPLv2.1 or later"]
+    lines += [" ".join(rng.choices(words, k=rng.randint(1, 60))).capitalize() for _ in range(150)]
+    found = {r.doc_id: r for r in scan_licenses(docs_frame(spark, [*lines, None])).collect()}
+    shared = [(family, set(plain_judge(t, m, COMMON_WORDS)[2])) for family, t in templates()]
+    partly = 0
+    for i, line in enumerate(lines):
+        best, p, grams = plain_judge(line, m, COMMON_WORDS)
         if i not in found:
-            assert line in DECOYS or line in ("nothing here", "Mit freundlichem")
+            assert p < MIN_PROBABILITY and not {w for g in grams for w in g.split(" ")} & set(m.anchors())
             continue
-        gs = ngrams(line)
-        x = np.zeros(len(vocabulary))
-        x[[vocabulary[g] for g in gs if g in vocabulary]] = 1 / len(gs) ** 0.5
-        p = _softmax(((x @ weights + bias) / temperature)[None])[0]
-        assert found[i].probability == pytest.approx(p[1:].max(), abs=1e-9)
-        families = [f for f, texts in FAMILIES.items() if line in texts]
-        if families:
-            assert (found[i].family, found[i].confirmed, found[i].similarity) == (families[0], True, 1.0)
-    assert CLASSES[0] == "unknown"
+        family = CLASSES[best] if p >= MIN_PROBABILITY else "unknown"
+        similarity = max((len(grams & t) / min(len(grams), len(t)) for f, t in shared if f == family), default=0.0)
+        partly += 0 < similarity < 1
+        assert (found[i].family, found[i].confirmed) == (family, similarity >= 0.5)
+        assert found[i].probability == pytest.approx(p, abs=1e-9) and found[i].similarity == pytest.approx(similarity)
+    assert partly > 10 and len(found) < len(lines)
+
+
+def test_license_anchors_and_paragraphs(spark):
+    """No text without an anchor reaches a family; wrapped lines are one paragraph, others are not."""
+    from cohesia.llm.license_texts import COMMON_WORDS
+    from cohesia.llm.licenses import MIN_PROBABILITY, model, paragraphs
+
+    rng, m, anchors = random.Random(18), model(), set(model().anchors())
+    free = [g for g in m.vocabulary if not anchors & set(g.split(" "))]
+    for k in (1, 3, 10, 40, len(free)):
+        for _ in range(50):
+            assert plain_judge(" ".join(rng.sample(free, min(k, len(free)))), m, COMMON_WORDS)[1] < MIN_PROBABILITY
+    text = "Permission is hereby granted,\n  to any person\r\nobtaining it. \nfree\nNext\n\nlast"
+    assert spark.createDataFrame([(text,)], "t string").select(paragraphs(F.col("t"))).first()[0] == ["Permission is hereby granted,   to any person obtaining it. ", "free", "Next", "", "last"]
 
 
 # quality
@@ -884,10 +929,15 @@ def test_features_beyond_the_broadcast(spark, monkeypatch):
 
 
 def all_results(spark, docs):
-    from cohesia.llm import decontaminate, licenses, lines, mixing, quality, secrets, simhash, toxicity
+    from cohesia.llm import decontaminate, licenses, lines, mixing, quality, secrets, simhash, topk, toxicity, urls
+    from cohesia.llm.queries import URL_RULES
 
     labels = labels_frame(spark)
     items = spark.createDataFrame([(1, "a b c d e f g"), (None, None)], "item_id long, text string")
+    more = docs.withColumn("rule", F.lit("clash")).withColumn("verdict", F.lit("clash")).withColumn("host_len", F.lit("clash"))
+    yield "urls", urls.filter_urls(more, URL_RULES, id_col="doc_id", url_col="text"), True
+    vectors = more.select(F.col("doc_id").alias("vec_id"), F.array(F.col("n_chars").cast("float"), F.lit(1.0).cast("float")).alias("embedding"), "score", F.lit("clash").alias("rank"))
+    yield "top_k", topk.top_k(vectors, every=1), False
     yield "classes", simhash.classes(docs), True
     yield "near_dedup", simhash.near_dedup(docs), False
     yield "line_report", lines.line_report(docs), True
@@ -911,7 +961,7 @@ def test_awkward_and_empty_tables(spark):
     n = docs.count()
     for name, df, all_rows in all_results(spark, docs):
         found = df.collect()
-        assert (len(found) == n) if all_rows else len(found) <= 3 * n, name
+        assert (len(found) == n) if all_rows else len(found) <= 5 * n, name
         if name in ("near_dedup", "line_dedup", "removed", "reject"):
             assert df.columns == docs.columns, name
             assert {r["size"] for r in found} == {"clash"}, name
@@ -925,9 +975,55 @@ def test_awkward_results(spark):
     docs = awkward(spark)
     kept = [(r.doc_id, r.text) for r in simhash.near_dedup(docs).collect()]
     assert len([k for k in kept if k[0] == 1]) == 2  # the repeated row once, the other text under its id too
-    assert len([k for k in kept if k[0] is None]) == 2 and len([k for k in kept if k[0] in (2, 3, 4)]) == 1
+    assert [k[1] for k in kept if k[0] is None] == ["no id here at all"] and len([k for k in kept if k[0] in (2, 3, 4)]) == 1
     found = {(r.doc_id, r.n_lines, r.n_removed) for r in lines.line_report(docs).collect()}
     assert (2, 0, 0) in found and (3, 1, 0) in found and (1, 1, 0) in found
     assert {r.n_removed for r in lines.line_report(docs).where("doc_id = 5").collect()} != {0}
     hits = sorted((r.doc_id, r.n_hit) for r in decontaminate.report(docs, spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")).where("n_hit > 0").collect())
     assert hits == [(1, 7), (1, 7)]
+
+
+def test_cells_bound_what_two_sets_share(spark):
+    """Never below the true overlap, and low enough to rule out sets that share little."""
+    from cohesia.llm.similar import cells, most_shared
+
+    rng = np.random.default_rng(16)
+    rows, truth = [], []
+    for n in (1, 2, 5, 40, 400, 900):
+        for share in (0.0, 0.2, 0.8, 1.0):
+            x = np.unique(rng.integers(-(2**63), 2**63, n))
+            keep = x[: int(len(x) * share)]
+            y = np.unique(np.concatenate([keep, rng.integers(-(2**63), 2**63, max(0, int(n * rng.choice((0.8, 1.0, 1.2))) - len(keep)))]))
+            rows.append((len(rows), cells(x).tolist(), cells(y).tolist()))
+            truth.append((len(np.intersect1d(x, y)), len(x), len(y)))
+    crowd = np.arange(300, dtype=np.int64) * 1000  # all in one cell, more than a byte holds: no bound
+    rows.append((len(rows), cells(crowd).tolist(), cells(crowd[:20]).tolist()))
+    truth.append((20, 300, 20))
+    df = spark.createDataFrame(rows, "i int, x array<tinyint>, y array<tinyint>")
+    found = {r.i: r.most for r in df.select("i", most_shared(F.col("x"), F.col("y")).alias("most")).collect()}
+    assert found[len(truth) - 1] is None and all(found[i] >= shared for i, (shared, _, _) in enumerate(truth[:-1]))
+    assert all(found[i] < 0.8 / 1.8 * (a + b) for i, (shared, a, b) in enumerate(truth[:-1]) if a >= 400 and shared < 0.3 * a)
+
+
+def test_symbol_counts_do_not_depend_on_pieces(spark, monkeypatch):
+    from cohesia.llm import toxicity as t
+
+    docs = docs_frame(spark, ["an idiot met a moron, and the loser said so", "", None, "ab", "x"])
+    whole = t.language_model(docs, "text")
+    monkeypatch.setattr(t, "_CHUNK", 3)
+    batches = iter([__import__("pyarrow").RecordBatch.from_pylist([{"text": r.text} for r in docs.collect()])])
+    small = {c: n for b in t._count_symbols(batches) for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    monkeypatch.undo()
+    batches = iter([__import__("pyarrow").RecordBatch.from_pylist([{"text": r.text} for r in docs.collect()])])
+    large = {c: n for b in t._count_symbols(batches) for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert small == large and len(whole) == t.SYMBOLS**3
+
+
+@pytest.mark.parametrize("size", [41, 400, 100_000])
+def test_hidden_words_of_any_length(spark, size):
+    from cohesia.llm import toxicity as t
+
+    restorer = t.Restorer(t.language_model(docs_frame(spark, [INSULTS * 20]), "text"))
+    assert "idiot" in set(t.restored_words("i" * (size - 4) + "di0t", restorer))
+    spaced = " ".join("youaresuchaloser" * (size // 16) + "idiot")
+    assert "idiot" in set(t.restored_words(spaced, restorer))

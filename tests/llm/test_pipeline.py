@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cohesia.llm import queries
 
@@ -66,6 +67,24 @@ def test_pipeline(spark):
     assert brute_lines(["a b\nc", "a b\nc"], 2) == {(1, 0), (1, 1)}
 
 
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Null, empty, long and repeated rows, clashing columns; and a table without rows."""
+    import corpus_pipeline
+    from tests.llm.test_operators import awkward, labels_frame
+
+    docs = awkward(spark)
+    labels_frame(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a b c d e f g"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.withColumn("copy", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.columns == [*docs.columns, "copy", "_copy"]
+    rows = found.collect()
+    assert rows and all(r["size"] == r["copy"] == "clash" and r.text and 1 <= r._copy <= 3 for r in rows)
+    assert not any("c d e" in r.text for r in rows if r.doc_id == 1)
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def brute_lines_fast(texts, min_words):
     """As the brute force over all runs, but over runs of up to the length that first has enough words, from both ends."""
     from collections import defaultdict
