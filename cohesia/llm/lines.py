@@ -131,18 +131,20 @@ def removal_spans(runs: DataFrame) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(_row, _text, spans)`` for each row of ``docs``."""
+    """``(_row, _text, spans, _lines)`` for each row of ``docs``; _lines is null where nothing goes."""
     spans = materialize(removal_spans(repeated_runs(line_ids(docs, id_col, text_col), min_words)), "spans")
     doc, digest = _keys(id_col, text_col)
     rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text"), doc.alias("_doc"), digest.alias("_digest"))
     joined = rows.join(spans.hint("shuffle_hash"), (F.col("_doc") == F.col("doc")) & (F.col("_digest") == F.col("digest")), "left")
-    return joined.select("_row", "_text", "spans")
+    return joined.select("_row", "_text", "spans", F.when(F.col("spans").isNotNull(), F.split("_text", "\n", -1)).alias("_lines"))
 
 
-def _kept(text: str = "_text") -> Column:
-    lines = F.split(F.col(text), "\n", -1)
-    gone = lambda i: F.exists("spans", lambda s: (i >= s["start"]) & (i < s["end"]))
-    return F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~gone(i)), "\n"))
+def _kept() -> Column:
+    """The text without its spans: what lies between them, joined. Spans are sorted and apart, so each line is copied once."""
+    starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
+    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.size("_lines")))
+    pieces = F.zip_with(starts, ends, lambda a, b: F.slice("_lines", a + 1, b - a))
+    return F.when(F.col("spans").isNull(), F.col("_text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
