@@ -5,6 +5,12 @@ one order, the first ``n - ceil(t * n) + 1`` elements of both meet. Only these a
 list and whose sizes allow it are candidates, and the full sets decide. The order puts shingles of many texts last: a
 passage that stands in many texts then rarely opens a posting list.
 
+Full sets only move for candidates that a bound leaves: with the hashes cut into cells of equal width, of which a text has one for
+about ``PER_CELL`` of its shingles, two texts share at most the sum over cells of the lesser count.
+
+A pair that reaches t also meets on the list of its first common element in the order, and can share no more than what comes
+from there on in either text. Texts of one list are paired only where that is enough.
+
 Of a group of near copies not all pairs are needed, only links that connect the same texts. Each list's texts are first
 compared with the least of them; then lists that still hold texts of several components are paired across components.
 So every pair at t or more is either connected already or compared.
@@ -17,18 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from cohesia.llm.components import connected_components
 from cohesia.llm.text import LOWER, byte_rows, word_blocks
-from cohesia.runtime import materialize, release
+from cohesia.runtime import materialize, release, sweep
 
-#: Texts on a posting list from which its shingle goes last in the order; the most such shingles. Any choice gives the same pairs.
-COMMON, MAX_COMMON = 64, 1_000_000
+#: Texts on a posting list from which its shingle goes last in the order, the most such shingles, and the share of texts, one in so
+#: many, on which lists are counted for that. Any order gives the same pairs.
+COMMON, MAX_COMMON, COUNTED = 64, 1_000_000, 8
+#: The most ids of candidates that are broadcast (some 60 bytes each in a task); more meet the texts by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Words whose hashes a task remembers, and posting rows that it holds.
 _REMEMBERED, _FLUSH = 300_000, 1 << 20
 _SLACK = 1e-9
+#: Shingles per cell; cells are a power of two.
+PER_CELL = 4
 
 
 class _Words(dict):
@@ -63,6 +74,25 @@ def prefix(found: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarr
     return found[: len(found) - math.ceil(similarity * len(found) - _SLACK) + 1]
 
 
+def cells(found: np.ndarray) -> np.ndarray:
+    """How many of a sorted set's hashes each cell holds, in a byte; empty where a cell would hold more, which even hashes don't do."""
+    bits = max(2, (len(found) // PER_CELL).bit_length())
+    counts = np.bincount((found >> (64 - bits)) + (1 << (bits - 1)), minlength=1 << bits)
+    return counts.astype(np.int8) if counts.max() <= 127 else np.zeros(0, np.int8)
+
+
+def most_shared(x: Column, y: Column) -> Column:
+    """The most elements that two sets can share, from their cells; of the one with more cells, so many add up to one of the other's. Null without cells."""
+
+    def folded(c: Column, to: Column) -> Column:
+        each = (F.size(c) / F.size(to)).cast("int")
+        total = lambda i: F.aggregate(F.slice(c, i * each + 1, each), F.lit(0), lambda t, v: t + v)
+        return F.when(each <= 1, F.transform(c, lambda v: v.cast("int"))).otherwise(F.transform(F.sequence(F.lit(0), F.size(to) - 1), total))
+
+    shared = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda m, n: F.least(m, n)), F.lit(0), lambda total, n: total + n)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), shared)
+
+
 def _prefixes(size: int, similarity: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, often = _Words(), common.value
@@ -72,24 +102,37 @@ def _prefixes(size: int, similarity: float, common):
             lengths = [len(k) for _, _, k in held]
             columns = [np.repeat(np.array([r[i] for r in held], np.int64), lengths) for i in (0, 1)]
             columns.append(np.concatenate([k for _, _, k in held] or [np.zeros(0, np.int64)]))
+            columns.append(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths] or [np.zeros(0, np.int32)]))
+            return pa.record_batch([*(pa.array(c) for c in columns), pa.nulls(len(columns[0]), _CELLS)], _POSTED)
+
+        def shapes() -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in held], pa.int64()) for i in (0, 1)]
             held.clear()
-            return pa.record_batch([pa.array(c) for c in columns], ["h", "n", "key"])
+            counts = pa.array([cells(s) for s in sets], _CELLS)
+            sets.clear()
+            return pa.record_batch([*columns, pa.nulls(len(columns[0]), pa.int64()), pa.nulls(len(columns[0]), pa.int32()), counts], _POSTED)
 
         for batch in batches:
-            rows = 0
+            rows, sets = 0, []
             for h, data in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1))):
                 found = shingles(data, size, words)
                 if len(found):
                     held.append((h, len(found), prefix(found, similarity, often)))
-                    rows += len(held[-1][2])
+                    sets.append(found)
+                    rows += len(found)
                 if rows >= _FLUSH:
                     yield out()
+                    yield shapes()
                     rows = 0
             yield out()
+            yield shapes()
 
     return run
 
 
+_CELLS, _POSTED = pa.list_(pa.int8()), ["h", "n", "key", "at", "cells"]
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -102,60 +145,68 @@ def _sets(size: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` whose texts reach ``similarity``."""
-    pairs = materialize(pairs, "candidates")
-    asked = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    sets = materialize(texts.join(asked, "h", "left_semi").mapInArrow(_sets(size), "h long, s array<long>").dropDuplicates(["h"]), "sets")
+    """The ``pairs(a, b)``, a table, whose texts reach ``similarity``."""
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "asked")
+    wanted = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "h", "left_semi")
+    sets = wanted.mapInArrow(_sets(size), "h long, s array<long>").dropDuplicates(["h"])
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     out = materialize(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - _SLACK).select("a", "b"), "similar")
-    release(pairs, sets)
+    release(pairs, asked)
     return out
 
 
-def _lists(posted: DataFrame) -> DataFrame:
-    """Posting lists of two texts or more, with the least text."""
-    return posted.groupBy("key").agg(F.min(F.struct("h", "n")).alias("least"), F.max("h").alias("last"), F.count("*").alias("size")).where("least.h < last")
-
-
 def similar_links(texts: DataFrame, names: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` that together with ``links(a, b)`` connect all texts at ``similarity`` or more.
 
     ``texts(h, text)`` may repeat rows; ``names(h, node)`` gives the node of each text. A text without words links nowhere.
     """
-    context = texts.sparkSession.sparkContext
-
-    def post(common: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        found = texts.mapInArrow(_prefixes(size, similarity, context.broadcast(common)), "h long, n long, key long")
-        posted = materialize(found, "prefixes")
-        return posted, materialize(_lists(posted), "lists")
+    spark = texts.sparkSession
 
-    posted, lists = post(np.zeros(0, np.int64))
-    common = lists.where(F.col("size") >= COMMON).orderBy(F.desc("size"), "key").limit(MAX_COMMON).select("key").toArrow()["key"].to_numpy()
-    if len(common):
-        release(posted, lists)
-        posted, lists = post(np.sort(common))
-    near = materialize(posted.join(lists.select("key", "least"), "key").distinct(), "shared")
-    release(posted, lists)
+    def post(of: DataFrame, common: np.ndarray) -> DataFrame:
+        return of.mapInArrow(_prefixes(size, similarity, spark.sparkContext.broadcast(common)), "h long, n long, key long, at int, cells array<tinyint>")
 
-    def fits(m, n):
-        return F.least(m, n) >= F.lit(similarity) * F.greatest(m, n) - _SLACK
+    some = post(texts.where(F.pmod("h", F.lit(COUNTED)) == 0), np.zeros(0, np.int64)).where("key is not null").groupBy("key").agg(F.count("*").alias("size"))
+    common = some.where(F.col("size") * COUNTED >= COMMON).orderBy(F.desc("size"), "key").limit(MAX_COMMON).select("key").toArrow()["key"].to_numpy()
+    written = materialize(post(texts, np.sort(common)), "prefixes")
+    shapes = materialize(written.where("cells is not null").groupBy("h").agg(F.any_value("n").alias("n"), F.any_value("cells").alias("cells")), "shapes")
+    posted = written.where("key is not null")
+    lists = materialize(posted.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("last")).where("least < last").select("key", "least"), "lists")
+    near = materialize(posted.select("key", "h", "n", (F.col("n") - F.col("at")).alias("rest")).join(lists.hint("shuffle_hash"), "key"), "shared")
+    release(written, lists)
+    sweep(spark)
 
     def named(pairs: DataFrame) -> DataFrame:
         ends = [names.select(F.col("h").alias(end), F.col("node").alias(f"node_{end}")) for end in "ab"]
         return pairs.join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).where("a <> b").distinct()
 
-    stars = near.where((F.col("h") != F.col("least.h")) & fits(F.col("n"), F.col("least.n"))).select(F.col("least.h").alias("a"), F.col("h").alias("b")).distinct()
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and then cells don't rule out."""
+        needed = F.lit(similarity) / (1 + F.lit(similarity)) * (F.col("n_a") + F.col("n_b")) - _SLACK
+        for end in "ab":
+            pairs = pairs.join(shapes.select(F.col("h").alias(end), F.col("n").alias(f"n_{end}")), end)
+        pairs = materialize(pairs.where(F.least("n_a", "n_b") >= needed), "sized")
+        met = pairs
+        for end in "ab":
+            met = met.join(shapes.select(F.col("h").alias(end), F.col("cells").alias(f"cells_{end}")), end)
+        out = materialize(met.where(F.coalesce(most_shared(F.col("cells_a"), F.col("cells_b")) >= needed, F.lit(True))).select("a", "b"), "possible")
+        release(pairs)
+        return out
+
+    stars = possible(near.where("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b")).distinct())
     first = named(_verified(stars, texts, size, similarity))
+    sweep(spark)
 
     labels = connected_components(links.unionByName(first).distinct())
     label = names.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("h", F.coalesce("label", "node").alias("label"))
-    open_ = near.select("key", "h", "n").join(label, "h")
+    open_ = near.select("key", "h", "n", "rest").join(label, "h")
     several = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = materialize(open_.join(several, "key", "left_semi"), "open")
-    left, right = (open_.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("h", "n", "label"))) for end in "ab")
-    rest = left.join(right, "key").where((F.col("label_a") < F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")))
-    second = named(_verified(rest.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct(), texts, size, similarity))
+    open_ = materialize(open_.join(several, "key", "left_semi").distinct(), "open")
+    left, right = (open_.select("key", F.col("h").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "rest", "label"))) for end in "ab")
+    enough = F.least("rest_a", "rest_b") >= F.lit(similarity) / (1 + F.lit(similarity)) * (F.col("n_a") + F.col("n_b")) - _SLACK
+    rest = possible(left.join(right, "key").where((F.col("label_a") < F.col("label_b")) & enough).select("a", "b").distinct())
+    second = named(_verified(rest, texts, size, similarity))
     out = materialize(first.unionByName(second).distinct(), "links")
-    release(near, open_)
+    release(near, open_, shapes)
+    sweep(spark)
     return out
