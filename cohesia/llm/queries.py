@@ -230,6 +230,96 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohesia.llm.resampling import importance
+
+    found = importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL["op11_importance_resampling"] = r"""
+WITH sums AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)
+), w AS (
+  SELECT 's' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL
+  SELECT 't', NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), runs AS (
+  SELECT side, doc_id, array_to_string(ws[i:i + n - 1], ' ') AS f, count(*) AS c FROM w, range(1, 4) AS k(n), unnest(range(1, len(ws) - n + 2)) AS u(i) GROUP BY ALL
+), hashed AS (
+  SELECT f, xor(4294967295, list_reduce(list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT),
+                lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295)) % 10000 AS bucket FROM (SELECT DISTINCT f FROM runs), sums
+), found AS (
+  SELECT side, doc_id, bucket, c FROM runs JOIN hashed USING (f)
+), counts AS (
+  SELECT bucket, coalesce(sum(c) FILTER (side = 's'), 0)::BIGINT AS s, coalesce(sum(c) FILTER (side = 't'), 0)::BIGINT AS t FROM found GROUP BY bucket
+), totals AS (SELECT sum(s)::BIGINT AS s_all, sum(t)::BIGINT AS t_all FROM counts
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM counts, totals
+), weights AS (
+  SELECT doc_id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM found JOIN gains USING (bucket) WHERE side = 's' GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(ws) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN weights USING (doc_id) WHERE side = 's'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS r, 5 * count(*) OVER (PARTITION BY n >= 20) // 100 AS drawn FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND r <= drawn THEN r END AS rank FROM ranked
+"""
+
+
+@query
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohesia.llm.audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op12_filter_interaction_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents
+), firsts AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text
+), said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_extract_all(d.text, '[A-Z]')) > 3 * length(d.text),
+                regexp_matches(d.text, '[#$%&*|]'), doc_id > least] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d JOIN firsts USING (text) LEFT JOIN said USING (doc_id)
+), n AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY part, fails
+), f AS (SELECT unnest(range(1, 6)) AS i
+), orders AS (
+  SELECT [a.i, b.i, c.i, e.i, g.i] AS o FROM f a, f b, f c, f e, f g WHERE len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5
+), steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders
+), cells AS (
+  SELECT part, o, step, o[step] AS filter,
+         sum(n) FILTER (fails[o[step]] AND NOT list_contains(list_transform(o[1:step - 1], lambda i: fails[i]), true)) AS removed,
+         sum(good) FILTER (fails[o[step]] AND NOT list_contains(list_transform(o[1:step - 1], lambda i: fails[i]), true)) AS good_lost,
+         sum(toxic) FILTER (fails[o[step]] AND NOT list_contains(list_transform(o[1:step - 1], lambda i: fails[i]), true)) AS toxic_lost,
+         sum(n) FILTER (NOT list_contains(list_transform(o[1:step], lambda i: fails[i]), true)) AS kept,
+         sum(n) FILTER (fails[o[step]]) AS failing,
+         sum(n) FILTER (fails[o[step]] AND len(list_filter(fails, lambda x: x)) = 1) AS alone
+  FROM steps, n GROUP BY ALL
+)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       (coalesce(failing, 0) - coalesce(removed, 0))::BIGINT AS redundant, coalesce(alone, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
+FROM cells
+"""
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cohesia.llm.packing import pack
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        found = pack(table(spark, sf_dir, "documents"), file.read())
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
