@@ -15,6 +15,7 @@ looked up in stretches that end before white space, or after a plain word; a wor
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -29,30 +30,48 @@ from cohesia.operators.canonical import dense_index
 from cohesia.runtime import materialize, release
 
 TOKENS, END = 1024, 2
-#: A stretch is white space and what follows up to the next, or up to the mark after a plain word. Other white space than these four sends the
-#: whole text to the tokenizer.
-_STRETCH = re.compile(r"[ \t\n\r]*[A-Za-z]+(?=[ \t\n\r.,;:!?|]|$)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: A stretch is white space and what follows up to the next, or up to the mark after a plain word, or a line's end alone. Other white space
+#: than these four sends the whole text to the tokenizer.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_STRETCH = re.compile(rf"\n(?=[^ \t\n\r])|[ \t\n\r]*[{_LETTERS}]+(?=[ \t\n\r{_MARKS}]|$)|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_WORD = re.compile(f" ?[{_LETTERS}]+").fullmatch
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r]|[\x0b\x0c\x1c-\x1f\x85᠎​﻿]")
 _CUT, _BLOCK = re.compile(r"(?<=[^ \t\n\r])[ \t\n\r]"), 1 << 20
 #: Stretches that a worker remembers, and as many again that it has met before those; longer stretches are not kept.
-_REMEMBERED, _LONGEST_REMEMBERED = 250_000, 64
+_REMEMBERED, _LONGEST_REMEMBERED = 300_000, 64
 #: Pieces, and ids in them, that a task sends at a time.
 _FLUSH_PIECES, _FLUSH_IDS = 1 << 16, 1 << 22
 
 
+def _byte_characters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible Latin-1 characters as they are, the others, in turn, from U+0100 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
 class Encoder(dict):
     """The ids of a stretch of text, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_str(definition).encode
+        whole, parts = Tokenizer.from_str(definition), json.loads(definition)
+        before = parts["pre_tokenizer"] or {}
+        self._encode, self._model = whole.encode, whole.model.tokenize
+        #: Whether stretches may be encoded alone, and a word be given to the model as it is.
+        self._apart = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not (before.get("add_prefix_space") or parts["normalizer"] or parts["post_processor"])
         self._older: dict[str, bytes] = {}
 
     def __missing__(self, stretch: str) -> bytes:
         found = self._older.get(stretch)
         if found is None:
-            ids = self._encode(stretch, add_special_tokens=False).ids
+            if self._apart and _WORD(stretch):
+                ids = [token.id for token in self._model(stretch.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
+            else:
+                ids = self._encode(stretch, add_special_tokens=False).ids
             found = struct.pack(f"<{len(ids)}I", *ids)
         if len(stretch) <= _LONGEST_REMEMBERED:
             if len(self) >= _REMEMBERED:
@@ -63,7 +82,7 @@ class Encoder(dict):
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text; the same as those of the tokenizer on the whole."""
-        if _OTHER_SPACE.search(text):
+        if not self._apart or _OTHER_SPACE.search(text):
             return self[text]
         found, start = [], 0
         while start < len(text):

@@ -234,13 +234,24 @@ def test_encoder_equals_the_tokenizer(monkeypatch):
 
     monkeypatch.setattr(packing, "_REMEMBERED", 20)
     whole, encoder, rng = Tokenizer.from_file(TOKENIZER), packing.Encoder(definition()), random.Random(4)
-    bits = ["a", "Bcd", " ", "  ", "\n", "\t", "\r\n", "'s", "'", "é", "日本", "1", "23", "!", ".", ",", "|", "<|endoftext|>", "\xa0", "　", "\x0b", "\x1c", "​", " x y", "word "]
-    for n in range(2500):
+    bits = ["a", "Bcd", "über", "ß", "µ", "×", "ñÿ-", "́", "#", "<", "_", " ", "  ", "\n", "\t", "\r\n", "'s", "'", "é", "日本", "1", "23", "!", ".", ",", "|", "<|endoftext|>", "\xa0", "　", "\x0b", "\x1c", "​", " x y", "word "]
+    for n in range(4000):
         monkeypatch.setattr(packing, "_BLOCK", rng.choice([1, 5, 1 << 20]))
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_of_other_pretokenizers():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from cohesia.llm.packing import Encoder
+
+    plain = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    plain.pre_tokenizer = pre_tokenizers.Whitespace()
+    for text in ("a b", "a\nb c", ""):
+        assert np.frombuffer(Encoder(plain.to_str()).ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     from cohesia.llm.packing import Capacities, pack, sequences
 
