@@ -14,6 +14,13 @@ from there on in either text. Texts of one list are paired only where that is en
 Of a group of near copies not all pairs are needed, only links that connect the same texts. Each list's texts are first
 compared with the least of them; then lists that still hold texts of several components are paired across components.
 So every pair at t or more is either connected already or compared.
+
+A passage that makes up most of very many short texts is on a list as long as their number. The order spares that list its square:
+a text posted under a common element is posted under all of its own, rare ones, which come before. So texts that share a rare element
+meet on a short list, and the long one only has to connect texts that share common elements alone. Let h be a text's common
+elements and r the number of its rare ones. Of the texts with the same h the one with the least r is their hub: two of them at t or more
+each reach t with the hub, by these numbers, so all that do are linked to it without being read. For texts of different h, a partner
+can be replaced by its hub, whose r is no larger. So a long list pairs hubs, and the texts that their own hub does not hold, with hubs.
 """
 
 from __future__ import annotations
@@ -65,13 +72,18 @@ def shingles(data: bytes | None, size: int, words: dict[bytes, int]) -> np.ndarr
     return np.unique((mixed ^ (mixed >> np.uint64(32))).view(np.int64))
 
 
-def prefix(found: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The elements of a sorted set that any set at ``similarity`` or more meets in its own prefix."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        often = common[at] == found
-        found = np.concatenate([found[~often], found[often]])
-    return found[: len(found) - math.ceil(similarity * len(found) - _SLACK) + 1]
+def ordered(found: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """A sorted set with its common elements last, and the number of the others."""
+    if not len(common):
+        return found, len(found)
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    often = common[at] == found
+    return np.concatenate([found[~often], found[often]]), int(len(found) - often.sum())
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many elements of a set of ``n`` any set at ``similarity`` or more meets in its own prefix."""
+    return n - math.ceil(similarity * n - _SLACK) + 1
 
 
 def cells(found: np.ndarray) -> np.ndarray:
@@ -94,43 +106,39 @@ def most_shared(x: Column, y: Column) -> Column:
 
 
 def _prefixes(size: int, similarity: float, common):
+    """Two kinds of rows: each element of a text's prefix, with key; and one for the text, with cells, its rare elements, and, where its prefix has common ones, a digest of all of these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, often = _Words(), common.value
-        held: list[tuple[int, int, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            lengths = [len(k) for _, _, k in held]
-            columns = [np.repeat(np.array([r[i] for r in held], np.int64), lengths) for i in (0, 1)]
-            columns.append(np.concatenate([k for _, _, k in held] or [np.zeros(0, np.int64)]))
-            columns.append(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths] or [np.zeros(0, np.int32)]))
-            return pa.record_batch([*(pa.array(c) for c in columns), pa.nulls(len(columns[0]), _CELLS)], _POSTED)
-
-        def shapes() -> pa.RecordBatch:
-            columns = [pa.array([r[i] for r in held], pa.int64()) for i in (0, 1)]
+        held: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            lengths = [len(x[3]) for x in held]
+            h, n, own = (np.array([x[i] for x in held], np.int64) for i in range(3))
+            at = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths] or [np.zeros(0, np.int32)])
+            posted = [np.repeat(h, lengths), np.repeat(n, lengths), np.repeat(own, lengths), np.concatenate([x[3] for x in held] or [np.zeros(0, np.int64)]), at]
+            yield pa.record_batch([*map(pa.array, posted), pa.nulls(len(at), _CELLS), pa.nulls(len(at), pa.int64())], _POSTED)
+            shapes = pa.array([cells(np.sort(x[4])) for x in held], _CELLS)
+            digests = pa.array([xxh64_intdigest(x[4][x[2] :].tobytes(), 11) - (1 << 63) if len(x[3]) > x[2] else None for x in held], pa.int64())
+            yield pa.record_batch([pa.array(h), pa.array(n), pa.array(own), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int32()), shapes, digests], _POSTED)
             held.clear()
-            counts = pa.array([cells(s) for s in sets], _CELLS)
-            sets.clear()
-            return pa.record_batch([*columns, pa.nulls(len(columns[0]), pa.int64()), pa.nulls(len(columns[0]), pa.int32()), counts], _POSTED)
 
         for batch in batches:
-            rows, sets = 0, []
+            rows = 0
             for h, data in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1))):
-                found = shingles(data, size, words)
+                found, own = ordered(shingles(data, size, words), often)
                 if len(found):
-                    held.append((h, len(found), prefix(found, similarity, often)))
-                    sets.append(found)
+                    held.append((h, len(found), own, found[: prefix_length(len(found), similarity)], found))
                     rows += len(found)
                 if rows >= _FLUSH:
-                    yield out()
-                    yield shapes()
+                    yield from out()
                     rows = 0
-            yield out()
-            yield shapes()
+            yield from out()
 
     return run
 
 
-_CELLS, _POSTED = pa.list_(pa.int8()), ["h", "n", "key", "at", "cells"]
+_CELLS, _POSTED = pa.list_(pa.int8()), ["h", "n", "own", "key", "at", "cells", "alike"]
 
 
 def _sets(size: int):
@@ -163,19 +171,26 @@ def similar_links(texts: DataFrame, names: DataFrame, links: DataFrame, size: in
     """
     spark = texts.sparkSession
 
-    def post(of: DataFrame, common: np.ndarray) -> DataFrame:
-        return of.mapInArrow(_prefixes(size, similarity, spark.sparkContext.broadcast(common)), "h long, n long, key long, at int, cells array<tinyint>")
+    def post(of: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+        return of.mapInArrow(_prefixes(size, similarity, spark.sparkContext.broadcast(common)), "h long, n long, own long, key long, at int, cells array<tinyint>, alike long")
 
-    some = post(texts.where(F.pmod("h", F.lit(COUNTED)) == 0), np.zeros(0, np.int64)).where("key is not null").groupBy("key").agg(F.count("*").alias("size"))
+    # at a similarity of 0 the prefix is the whole set
+    some = post(texts.where(F.pmod("h", F.lit(COUNTED)) == 0), np.zeros(0, np.int64), 0.0).where("key is not null").groupBy("key").agg(F.count("*").alias("size"))
     common = some.where(F.col("size") * COUNTED >= COMMON).orderBy(F.desc("size"), "key").limit(MAX_COMMON).select("key").toArrow()["key"].to_numpy()
-    written = materialize(post(texts, np.sort(common)), "prefixes")
-    shapes = materialize(written.where("cells is not null").groupBy("h").agg(F.any_value("n").alias("n"), F.any_value("cells").alias("cells")), "shapes")
+    written = materialize(post(texts, np.sort(common), similarity), "prefixes")
+    shapes = materialize(written.where("cells is not null").groupBy("h").agg(*(F.any_value(c).alias(c) for c in ("n", "own", "cells", "alike"))), "shapes")
     posted = written.where("key is not null")
     lists = materialize(posted.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("last")).where("least < last").select("key", "least"), "lists")
-    near = materialize(posted.select("key", "h", "n", (F.col("n") - F.col("at")).alias("rest")).join(lists.hint("shuffle_hash"), "key"), "shared")
+    near = materialize(posted.select("key", "h", "n", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") >= F.col("own")).alias("often")).join(lists.hint("shuffle_hash"), "key"), "shared")
     release(written, lists)
     sweep(spark)
 
+    alike = shapes.where("alike is not null").select("h", "n", "own", "alike")
+    hubs = alike.groupBy("alike").agg(F.min(F.struct("own", "h")).alias("hub"))
+    reaches = F.col("n") - F.col("own") >= F.lit(similarity) * (F.col("n") + F.col("hub.own")) - _SLACK
+    role = F.when(F.col("h") == F.col("hub.h"), "hub").when(reaches, "held").otherwise("left")
+    roles = materialize(alike.join(hubs, "alike").select("h", F.col("hub.h").alias("hub"), role.alias("role")), "roles")
+
     def named(pairs: DataFrame) -> DataFrame:
         ends = [names.select(F.col("h").alias(end), F.col("node").alias(f"node_{end}")) for end in "ab"]
         return pairs.join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).where("a <> b").distinct()
@@ -194,19 +209,22 @@ def similar_links(texts: DataFrame, names: DataFrame, links: DataFrame, size: in
         return out
 
     stars = possible(near.where("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b")).distinct())
-    first = named(_verified(stars, texts, size, similarity))
+    held = roles.where("role = 'held'").select(F.col("hub").alias("a"), F.col("h").alias("b"))
+    first = materialize(named(_verified(stars, texts, size, similarity).unionByName(held)), "first")
     sweep(spark)
 
     labels = connected_components(links.unionByName(first).distinct())
     label = names.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("h", F.coalesce("label", "node").alias("label"))
-    open_ = near.select("key", "h", "n", "rest").join(label, "h")
-    several = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = materialize(open_.join(several, "key", "left_semi").distinct(), "open")
-    left, right = (open_.select("key", F.col("h").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "rest", "label"))) for end in "ab")
+    units = near.select("key", "h", "n", "rest", "often").join(label, "h").join(roles.select("h", "role"), "h", "left").where("not often or role <> 'held'")
+    several = units.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    open_ = materialize(units.join(several, "key", "left_semi").select("key", "h", "n", "rest", "label", (F.col("often") & (F.col("role") == "left")).alias("lone")).distinct(), "open")
+    left, right = (open_.select("key", F.col("h").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "rest", "label", "lone"))) for end in "ab")
     enough = F.least("rest_a", "rest_b") >= F.lit(similarity) / (1 + F.lit(similarity)) * (F.col("n_a") + F.col("n_b")) - _SLACK
-    rest = possible(left.join(right, "key").where((F.col("label_a") < F.col("label_b")) & enough).select("a", "b").distinct())
+    # of a common element's list, texts that no hub holds meet hubs only
+    apart = (F.col("label_a") != F.col("label_b")) & ~F.col("lone_b") & (F.col("lone_a") | (F.col("label_a") < F.col("label_b")))
+    rest = possible(left.join(right, "key").where(apart & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     second = named(_verified(rest, texts, size, similarity))
     out = materialize(first.unionByName(second).distinct(), "links")
-    release(near, open_, shapes)
+    release(near, open_, shapes, roles, first)
     sweep(spark)
     return out

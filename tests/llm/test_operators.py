@@ -157,6 +157,50 @@ def test_near_dedup_by_shingle_similarity(spark, monkeypatch, common):
     assert len(set(label)) < simhash.near_dedup(docs).count()
 
 
+def test_one_passage_in_many_short_texts(spark, monkeypatch):
+    """The candidates of a common passage follow the number of texts, and no link is lost: words of their own, shared or not, before and after, cut passages."""
+    from cohesia.llm import similar
+    from cohesia.llm.components import connected_components
+    from cohesia.runtime import materialize
+
+    seen = []
+    monkeypatch.setattr(similar, "materialize", lambda df, tag="t": seen.append((tag, materialize(df, tag))) or seen[-1][1])
+
+    def texts_of(n, seed):
+        rng = random.Random(seed)
+        passage, out = [f"p{i}" for i in range(40)], set()
+        while len(out) < n:
+            cut = passage if rng.random() < 0.9 else passage[: rng.choice([20, 30, 36])]
+            before, after = ([f"{rng.choice(['s', 'own'])}{rng.randrange(rng.choice([30, 10**6]))}" for _ in range(rng.choice(range(7)))] for _ in range(2))
+            out.add(" ".join([*before, *cut, *after]))
+        return sorted(out)
+
+    def run(texts):
+        seen.clear()
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h long, text string").repartition(4)
+        none = spark.createDataFrame([], "a long, b long")
+        links = similar.similar_links(rows, rows.select("h", F.col("h").alias("node")), none, 5, 0.8)
+        labels = {r.node: r.label for r in connected_components(links).collect()}
+        return [labels.get(i, i) for i in range(len(texts))]
+
+    counts = []
+    for n in (700, 2800):
+        texts = texts_of(n, 3)
+        monkeypatch.setattr(similar, "release", lambda *frames: None)
+        labels = run(texts)
+        counts.append(sum(df.count() for tag, df in seen if tag == "sized"))
+        if n == 700:
+            grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+            expected = list(range(n))
+            for a, b in itertools.combinations(range(n), 2):
+                if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) and expected[a] != expected[b]:
+                    lo, hi = sorted((expected[a], expected[b]))
+                    expected = [lo if x == hi else x for x in expected]
+            assert labels == expected
+            assert len(set(expected)) > 50
+    assert counts[1] < 6 * counts[0], counts
+
+
 def test_components_of_chains_and_stars(spark):
     from cohesia.llm.components import connected_components
 
