@@ -3,8 +3,11 @@
 Inside a source a document is expected the more often the longer it is: expected copies are one level of the source times
 the number of binary digits of the document's words, up to the limit, and the level is such that expected words
 meet the source's target. The whole part of the expectation is certain. What is left of it is the inclusion probability of
-one more copy: documents are ranked by random odds over inclusion odds, and the first ones are taken until their words fill
-what the certain copies leave of the target. So the sample's size is fixed in words, as targets are.
+one more copy: documents are ranked by random odds over inclusion odds, and the first ones are taken while their words fit into
+what the certain copies leave of the target. So the sample's size is fixed in words, as targets are. A long document that doesn't fit
+ends that, and may leave more than a small part of the target: from the longest that fits to the shortest, the next documents of the ranking fill the rest. A document
+with as many binary digits as the rest takes at least half of it, so one of each number of digits is enough. If the shortest
+document left would then miss the target by less than it is missed without it, it is taken too.
 
 The random number is a digest of the id, so reruns agree. The cut is found by two histograms of the ranking and a sort
 of the one bin that holds it; documents that have no chance of another copy are not ranked. So no source, however
@@ -23,6 +26,11 @@ from cohesia.runtime import materialize
 
 WEIGHTS, MAX_REPEATS, SEED = (5, 2, 1), 3, "mix-1"
 _BITS = 10
+#: The next documents of the ranking that may fill the rest, for each source and number of binary digits.
+FILLERS = 8
+#: The share of its target that a source may lack, or have too much, before other documents than the ranking's first fill it. Filling
+#: prefers what fits, so it changes inclusion; sources of many documents don't need it.
+TOLERANCE = 0.02
 #: The most rows (sources, or sources and numbers of digits; some 100 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -105,6 +113,7 @@ def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int
         word_count(F.col(text_col)).alias("size"),
         draw.alias("u"),
     )
+    sizes = sizes.withColumn("row", F.monotonically_increasing_id())
     sizes = materialize(sizes.withColumn("digits", F.when(F.col("size") > 0, F.length(F.bin("size")))), "sizes")
     targets = materialize(source_targets(sizes.select("source", "size"), weights, max_repeats), "targets")
     expected = materialize(expected_copies(sizes, targets, max_repeats), "expected")
@@ -126,10 +135,48 @@ def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int
     under = F.coalesce((F.col("hi") < F.col("hi_cut")) | ((F.col("hi") == F.col("hi_cut")) & (F.col("lo") < F.col("lo_cut"))), F.lit(True))
     sure = rows.where(~at_cut).withColumn("more", F.coalesce(open_ & under, F.lit(False)).cast("int"))
     ahead = F.sum("size").over(W.partitionBy("source").orderBy("odds", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, -1))
-    upto = F.coalesce(ahead, F.lit(0)) + F.col("lo_before") + F.col("size") / 2
-    cut = rows.where(at_cut).withColumn("more", (upto <= F.col("fill")).cast("int"))
-    both = sure.unionByName(cut).withColumn("copies", F.coalesce("whole", F.lit(0)) + F.col("more"))
-    return both.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    before = F.coalesce(ahead, F.lit(0)) + F.col("lo_before")
+    most = F.least(F.col("fill") + F.col("size") / 2, F.col("fill") + TOLERANCE * F.col("target"))
+    cut = rows.where(at_cut).withColumn("more", (before + F.col("size") <= most).cast("int"))
+    names = ["row", "doc_id", "text_hash", "source", "size", "digits", "source_size", "target", "whole", "fill", "odds", "more"]
+    dealt = materialize(sure.select(*names).unionByName(cut.select(*names)), "dealt")
+    for fillers in (_fillers, _nearest):
+        found = materialize(fillers(dealt), "fillers")
+        chosen = (F.broadcast(found) if few else found).select("row", F.lit(1).alias("filler"))
+        dealt = dealt.join(chosen, "row", "left").withColumn("more", F.coalesce("filler", "more")).drop("filler")
+    both = dealt.withColumn("copies", (F.coalesce("whole", F.lit(0)) + F.col("more")).cast("int"))
+    return both.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def _later(dealt: DataFrame) -> DataFrame:
+    """The documents that may have another copy and don't, of sources that lack more words than they may: ``rest``, beyond ``enough``."""
+    open_ = dealt.where("odds is not null")
+    got = open_.groupBy("source", "fill", "target").agg(F.sum(F.col("size") * F.col("more")).alias("got"))
+    rest = got.select(F.col("source").alias("of"), (F.col("fill") - F.col("got")).alias("rest"), (TOLERANCE * F.col("target")).alias("enough")).where("rest > enough")
+    return open_.where("more = 0").join(rest, F.col("source").eqNullSafe(F.col("of")))
+
+
+def _nearest(dealt: DataFrame) -> DataFrame:
+    """``(row)`` of each source's shortest document left, where that exceeds the target by less than the target is missed now."""
+    close = _later(dealt).where(F.col("size") < 2 * F.col("rest"))
+    return close.groupBy("source").agg(F.min(F.struct("size", "odds", "doc_id", "text_hash", "row")).alias("least")).select("least.row")
+
+
+def _fillers(dealt: DataFrame) -> DataFrame:
+    """``(row)`` of the documents that fill what the first ones of the ranking leave of each source."""
+    later = _later(dealt).where(F.col("size") <= F.col("rest"))
+    nth = F.row_number().over(W.partitionBy("source", "digits").orderBy("odds", "doc_id", "text_hash"))
+    next_ = later.withColumn("nth", nth).where(F.col("nth") <= FILLERS)
+    order = F.struct((-F.col("digits")).alias("shorter"), "nth", "size", "row")
+    groups = next_.groupBy("source", "rest", "enough").agg(F.array_sort(F.collect_list(order)).alias("next"))
+    start = F.struct(F.col("rest").alias("rest"), F.col("enough").alias("enough"), F.array().cast("array<bigint>").alias("rows"))
+
+    def take(state: Column, x: Column) -> Column:
+        fits = (x["size"] <= state["rest"]) & (state["rest"] > state["enough"])
+        left = F.when(fits, state["rest"] - x["size"]).otherwise(state["rest"])
+        return F.struct(left.alias("rest"), state["enough"].alias("enough"), F.when(fits, F.array_append(state["rows"], x["row"])).otherwise(state["rows"]).alias("rows"))
+
+    return groups.select(F.explode(F.aggregate("next", start, take)["rows"]).alias("row"))
 
 
 def _digest(seed: str, id_col: str, text_col: str) -> Column:

@@ -142,7 +142,7 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op6_mixing_sources"] = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          (('0x' || substr(md5('mix-1:' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM documents
 ), totals AS (
@@ -154,12 +154,12 @@ WITH d AS (
   FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT arg_min(level, (cap::DOUBLE / weight, place)) FROM l WHERE weight * level <= cap)) AS target FROM l
-), k AS (
+), e0 AS (
   SELECT d.source, length(bin(size)) AS digits, sum(size)::BIGINT AS words, any_value(source_size) AS source_size, any_value(target) AS target
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0 GROUP BY 1, 2
 ), v AS (
   SELECT *, (target - (coalesce(sum(words) OVER (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3)::DOUBLE)
-            / (sum(words * digits) OVER (PARTITION BY source ORDER BY digits))::DOUBLE AS level FROM k
+            / (sum(words * digits) OVER (PARTITION BY source ORDER BY digits))::DOUBLE AS level FROM e0
 ), e AS (
   SELECT *, CASE WHEN target < source_size * 3 THEN least(coalesce((max(CASE WHEN level * digits <= 3 THEN {'digits': digits, 'level': level} END) OVER (PARTITION BY source)).level * digits, 3), 3) ELSE 3 END AS copies FROM v
 ), f AS (
@@ -170,11 +170,29 @@ WITH d AS (
   SELECT d.doc_id, d.source, size, whole, part, fill, CASE WHEN part > 0 THEN u / (1 - u) * ((1 - part) / part) END AS odds
   FROM d LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source AND size > 0 AND length(bin(size)) = g.digits
 ), c AS (
-  SELECT doc_id, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 <= fill AS more
-  FROM q WHERE part > 0
+  SELECT doc_id, q.source, size, odds, fill, 0.02::DOUBLE * target AS enough,
+         sum(size) OVER (PARTITION BY q.source ORDER BY odds, doc_id ROWS UNBOUNDED PRECEDING) <= least(fill + size / 2, fill + 0.02::DOUBLE * target) AS first
+  FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source WHERE part > 0
+), r AS (
+  SELECT *, fill - coalesce(sum(size) FILTER (first) OVER (PARTITION BY source), 0) AS rest FROM c
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source, length(bin(size)) ORDER BY odds, doc_id) AS nth FROM r WHERE NOT first AND rest > enough AND size <= rest
+), o AS (
+  SELECT doc_id, source, size, rest, enough, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)) DESC, nth) AS i FROM n WHERE nth <= 8
+), s AS (
+  SELECT source, NULL::BIGINT AS doc_id, max(rest) AS rest, 0 AS i, false AS took FROM o GROUP BY source
+  UNION ALL
+  SELECT s.source, o.doc_id, CASE WHEN o.size <= s.rest AND s.rest > enough THEN s.rest - o.size ELSE s.rest END, o.i, o.size <= s.rest AND s.rest > enough
+  FROM s JOIN o ON o.source IS NOT DISTINCT FROM s.source AND o.i = s.i + 1
+), k AS (
+  SELECT doc_id FROM c WHERE first UNION ALL SELECT doc_id FROM s WHERE took
+), y AS (
+  SELECT *, doc_id IN (FROM k) AS taken, fill - coalesce(sum(size) FILTER (doc_id IN (FROM k)) OVER (PARTITION BY source), 0) AS left_over FROM c
+), m AS (
+  FROM k UNION ALL SELECT arg_min(doc_id, (size, odds, doc_id)) FROM y WHERE NOT taken AND left_over > enough AND size < 2 * left_over GROUP BY source
 )
-SELECT doc_id, q.size, t.source_size, t.target, (q.size * (coalesce(whole, 0) + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM q LEFT JOIN c USING (doc_id) JOIN t ON q.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, q.size, t.source_size, t.target, (q.size * (coalesce(whole, 0) + CASE WHEN doc_id IN (FROM m) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source
 """
 
 
@@ -279,7 +297,8 @@ def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
 
 SQL["op12_filter_interaction_audit"] = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents
 ), firsts AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text
 ), said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
 ), masks AS (

@@ -652,7 +652,7 @@ def test_mixing(spark):
             assert math.floor(copies[r.source][r.size.bit_length()]) <= r.copies <= math.ceil(copies[r.source][r.size.bit_length()] + 1e-9)
         else:
             assert r.copies == 0
-    assert len(found) == len(rows) and all(abs(taken[s] - expected[s]) <= 40 for s in sizes)
+    assert len(found) == len(rows) and all(abs(taken[s] - expected[s]) <= max(20, 0.02 * expected[s]) for s in sizes)
     again = {r.doc_id: r.copies for r in sample(df.repartition(7)).collect()}
     assert again == {r.doc_id: r.copies for r in found}
     copies = Counter(r.doc_id for r in mix(df).collect())
@@ -665,10 +665,11 @@ def test_mixing_deals_unequal_inclusion(spark):
     """Over many seeds documents of each length are taken as often as the method says, and every mix has the words of its target."""
     from cohesia.llm.mixing import sample
 
-    lengths = [1, 3, 6, 12, 25, 50, 100] * 12
-    rows = [(i, " ".join(["w"] * n), "en", "a" if i < 63 else "b", 0) for i, n in enumerate(lengths)] + [(1000 + i, "", "en", "b", 0) for i in range(50)]
+    # so many documents that the longest is less than a source may lack: nothing but the ranking decides
+    lengths = [1, 3, 6, 12, 25, 50, 100] * 60
+    rows = [(i, " ".join(["w"] * n), "en", "a" if i < 315 else "b", 0) for i, n in enumerate(lengths)] + [(1000 + i, "", "en", "b", 0) for i in range(50)]
     df = spark.createDataFrame(rows, DOCS).persist()
-    sizes = {"a": lengths[:63], "b": lengths[63:]}
+    sizes = {"a": lengths[:315], "b": lengths[315:]}
     target = brute_targets({s: sum(n) for s, n in sizes.items()}, (1, 1), 3)
     expected = {s: brute_expected(n, target[s]) for s, n in sizes.items()}
     seeds, taken = 16, Counter()
@@ -682,7 +683,28 @@ def test_mixing_deals_unequal_inclusion(spark):
     assert len({round(x, 3) for x in expected["a"].values()}) == 7
     for s, ns in sizes.items():
         for n, times in Counter(ns).items():
-            assert taken[s, n] / (seeds * times) == pytest.approx(expected[s][n.bit_length()], abs=0.12)
+            assert taken[s, n] / (seeds * times) == pytest.approx(expected[s][n.bit_length()], abs=0.06)
+
+
+def test_mixing_meets_targets_despite_long_documents(spark):
+    """Documents of 1 to 20,000 words: a source misses its target by half of its shortest open document at most, or by little."""
+    from cohesia.llm.mixing import sample
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(12):
+        for _ in range(rng.choice([6, 40, 200])):
+            size = int(math.exp(rng.uniform(0, math.log(20_000 if k % 2 else 600)))) if k != 5 else rng.choice([9_000, 15_000])
+            rows.append((len(rows), " ".join(["w"] * size), "en", f"s{k:02}", 0))
+    df = spark.createDataFrame(rows, DOCS).repartition(4).cache()
+    for seed in ("mix-1", "a", "b"):
+        by_source = defaultdict(list)
+        for r in sample(df, seed=seed).collect():
+            by_source[r.source].append(r)
+        for own in by_source.values():
+            missed = own[0].target - sum(r.taken for r in own)
+            shortest = min((r.size for r in own if r.copies < 3), default=0)
+            assert abs(missed) <= max(0.02 * own[0].target, shortest / 2 + 1), (seed, own[0].source, missed, own[0].target)
 
 
 def test_mixing_of_a_capped_source(spark):
