@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cohesia.operators.triangles import triangles, with_edge_ids
+from cohesia.operators.canonical import doubled
+from cohesia.operators.triangles import support, triangles, with_edge_ids
 from cohesia.runtime import Grown, materialize, release
 
 #: Triangles that one task may finish: three ids each, 48 MB, and about five times that at work.
@@ -119,6 +120,8 @@ def _by_h_index(g: Listed) -> DataFrame:
         if left == total:
             break
         total = left
+    else:
+        raise RuntimeError("no fixed point")
     release(incident)
     return values.select("e", (F.col("v") + 2).cast("int").alias("trussness"))
 
@@ -171,6 +174,81 @@ def _lowered(counts: DataFrame, marked: DataFrame) -> DataFrame:
     return counts.select("e", "s").unionByName(lost).groupBy("e").agg(F.sum("s").cast("int").alias("s"))
 
 
+def trussness_frontier(edges: DataFrame, window: int = 16) -> DataFrame:
+    """``(src, dst, trussness)`` by peeling that stores edges, not triangles.
+
+    Dying edges enumerate their triangles again, from the neighbour lists of the edges that were left when the present window of
+    ``window`` levels began. A triangle counts for the least of its dying edges. Only edges within the window are a table that rounds read and
+    write; for the others a log of what they lost is kept, and an edge whose support falls into the window enters it. When a window is
+    done, edges, supports and neighbour lists are written once, without the dead.
+    """
+    spark = edges.sparkSession
+    with_ids = materialize(with_edge_ids(edges), "edges")
+    counted = support(edges).join(with_ids, ["src", "dst"]).select("e", "src", "dst", F.col("support").alias("s"))
+    alive, dead, l = materialize(counted.where("s > 0"), "alive"), Grown(spark, "e long, trussness int", "dead"), 0
+    while True:
+        least = alive.agg(F.min("s")).first()[0]
+        if least is None:
+            break
+        l = max(l, least)
+        alive, l = _window(alive, dead, l, l + window)
+    found = with_ids.join(dead.table(), "e", "left")
+    return found.select("src", "dst", F.coalesce("trussness", F.lit(2)).alias("trussness"))
+
+
+def _window(alive: DataFrame, dead: Grown, l: int, high: int) -> tuple[DataFrame, int]:
+    """Peels ``alive(e, src, dst, s)`` of levels ``l`` up to ``high``, not included: what is left, and the level reached."""
+    spark = alive.sparkSession
+    near = materialize(doubled(alive).select(F.col("src").alias("v"), F.col("dst").alias("w"), "e", "s"), "near")
+    gone, lost = Grown(spark, "e long", "gone"), Grown(spark, "e long, src long, dst long, s int, n int", "lost")
+    hot, n_gone = materialize(alive.where(F.col("s") < high), "hot"), 0
+    while True:
+        least = hot.agg(F.min("s")).first()[0]
+        if least is None:
+            break
+        l = max(l, least)
+        dying = materialize(hot.where(F.col("s") <= l).select("e", "src", "dst"), "dying")
+        dead.append(dying.select("e", F.lit(l + 2).alias("trussness")))
+        before = gone.table() if n_gone else None
+        losses = materialize(_losses(dying, near, before), "losses")
+        lost.append(losses)
+        gone.append(dying.select("e"))
+        n_gone += 1
+        left = hot.join(dying.select("e"), "e", "left_anti")
+        less = left.join(losses.select("e", "n"), "e", "left").select("e", "src", "dst", (F.col("s") - F.coalesce("n", F.lit(0))).cast("int").alias("s"))
+        # of the log only edges that lost a triangle now can have fallen into the window
+        now = lost.table().join(losses.select("e"), "e", "left_semi").groupBy("e", "src", "dst").agg((F.max("s") - F.sum("n")).cast("int").alias("s"), F.max("s").alias("first"))
+        fallen = now.where((F.col("s") < high) & (F.col("first") >= high)).join(left.select("e"), "e", "left_anti").select("e", "src", "dst", "s")
+        new = materialize(less.unionByName(fallen), "hot")
+        release(hot, dying, losses)
+        hot = new
+    release(near, hot)
+    sums = lost.table().groupBy("e").agg(F.sum("n").alias("n"))
+    rest = alive.join(gone.table(), "e", "left_anti").join(sums, "e", "left")
+    out = materialize(rest.select("e", "src", "dst", (F.col("s") - F.coalesce("n", F.lit(0))).cast("int").alias("s")), "alive")
+    release(alive)
+    return out, l
+
+
+def _losses(dying: DataFrame, near: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """``(e, src, dst, s, n)``: how many triangles each edge that stays loses with ``dying``, among edges not yet ``gone``; s as ``near`` has it."""
+    first = near.select(F.col("v").alias("src"), F.col("w"), F.col("e").alias("f"), F.col("s").alias("sf"))
+    second = near.select(F.col("v").alias("dst"), F.col("w"), F.col("e").alias("g"), F.col("s").alias("sg"))
+    found = dying.join(first, "src").where("w <> dst").join(second, ["dst", "w"])
+    for side in "fg":
+        if gone is not None:
+            found = found.join(gone.withColumnRenamed("e", side), side, "left_anti")
+        also = dying.select(F.col("e").alias(side), F.lit(True).alias(f"{side}_dies"))
+        found = found.join(also, side, "left")
+    own = found.where("(f_dies is null or e < f) and (g_dies is null or e < g)")
+    stays = F.array(
+        F.when(F.col("f_dies").isNull(), F.struct(F.col("f").alias("e"), F.least("src", "w").alias("src"), F.greatest("src", "w").alias("dst"), F.col("sf").alias("s"))),
+        F.when(F.col("g_dies").isNull(), F.struct(F.col("g").alias("e"), F.least("dst", "w").alias("src"), F.greatest("dst", "w").alias("dst"), F.col("sg").alias("s"))),
+    )
+    rows = own.select(F.explode(stays).alias("x")).where("x is not null").select("x.*")
+    return rows.groupBy("e", "src", "dst", "s").agg(F.count("*").cast("int").alias("n"))
+
+
 def support_after_removal(edges: DataFrame, limit: int) -> DataFrame:
     """``(src, dst, support)`` of the edges that stay when all with support of at most ``limit`` go at once.
 

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohesia.functions import balance, ragged
-from cohesia.operators import canonical, sets, triangles, truss
+from cohesia.operators import canonical, clustering, parts, sets, tiles, triangles, truss
 from cohesia.operators.access import Graph
-from cohesia.runtime import work_dir
+from cohesia.runtime import materialize, scoped, tidied, work_dir
 from cohesia.sources.edges import pairs_within, part_graph, write_edge_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,11 +22,17 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
+    """Registers a query; the tables that it makes on its way are deleted once its result is written."""
+
     def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            return tidied(spark, lambda: f(spark, d), f.__name__)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             SQL[f.__name__] = sql
-        return f
+        return run
 
     return register
 
@@ -261,6 +268,12 @@ def triangle_list(spark, d):
     return triangles.triangle_list(part_graph(spark, d))
 
 
+@query(with_(G, TRI) + "SELECT a, b, c FROM t")
+def triangle_list_tiled(spark, d):
+    """By a grid of five buckets, 35 tiles, that edges are sent to; no wedges."""
+    return tiles.triangle_list_tiled(part_graph(spark, d), 5)
+
+
 @query(with_(G, TRI) + "SELECT count(*) AS triangles FROM t")
 def triangle_count(spark, d):
     return triangles.triangle_count(part_graph(spark, d))
@@ -325,7 +338,7 @@ def edge_support(spark, d):
 
 def _noisy_text(spark, d) -> str:
     """The graph as text: each edge in two rows next to each other, the second reversed and with another attribute, plus loops."""
-    path = f"{work_dir(spark)}/edges-{uuid.uuid4().hex}"
+    path = scoped(f"{work_dir(spark)}/edges-{uuid.uuid4().hex}")
     e = part_graph(spark, d)
     turned = (F.col("src") + F.col("dst")) % 3 == 0
     a, b = F.when(turned, F.col("dst")).otherwise(F.col("src")), F.when(turned, F.col("src")).otherwise(F.col("dst"))
@@ -401,6 +414,19 @@ def trussness_peel(spark, d):
     return truss.trussness_peel(part_graph(spark, d))
 
 
+@query(_T + "SELECT src, dst, trussness FROM tr")
+def trussness_frontier(spark, d):
+    """Peeling that stores edges and a window of levels, no triangles."""
+    return truss.trussness_frontier(part_graph(spark, d), window=2)
+
+
+@query(_T + "SELECT src, dst, trussness FROM tr")
+def trussness_by_parts(spark, d):
+    """Parts of propagated labels, none of more than 500 triangles, solved side by side; their boundaries meet."""
+    g = materialize(part_graph(spark, d), "graph")
+    return parts.trussness_by_parts(g, balance.communities(g).select("id", F.col("label").alias("part")), 500)
+
+
 @query(_T + """, n AS (SELECT trussness, count(*) AS edges FROM tr WHERE trussness > 2 GROUP BY 1)
 SELECT trussness, edges, (sum(edges) OVER w - edges)::BIGINT AS "start", (sum(edges) OVER w)::BIGINT AS "end" FROM n WINDOW w AS (ORDER BY trussness)""")
 def truss_layers(spark, d):
@@ -549,3 +575,29 @@ def _propagation_sql(rounds: int, parts: int) -> str:
 @query(_propagation_sql(5, 4))
 def community_partition(spark, d):
     return balance.community_partition(part_graph(spark, d), 4)
+
+
+_MOVES = """total AS (SELECT count(*)::DOUBLE AS total FROM both_ways),
+st AS (SELECT d.id, degree AS k, (SELECT least(d.id, min(w)) FROM both_ways WHERE v = d.id) AS label FROM deg d),
+tot AS (SELECT label, sum(k) AS tot FROM st GROUP BY label),
+li AS (SELECT v AS id, label AS "to", count(*) AS w FROM both_ways JOIN st ON st.id = w GROUP BY 1, 2),
+va AS (SELECT li.id, st.label, "to", total * w - k::DOUBLE * CASE WHEN "to" = st.label THEN o.tot - k ELSE n.tot END AS value, -k::DOUBLE * (o.tot - k) AS alone
+  FROM li JOIN st ON st.id = li.id JOIN tot o ON o.label = st.label JOIN tot n ON n.label = "to", total),
+be AS (SELECT id, label, alone, max(value) FILTER ("to" = label) AS stay, max(value) FILTER ("to" <> label) AS best FROM va GROUP BY ALL)"""
+
+
+@query(with_(G, BOTH, DEG, _MOVES) + """SELECT be.id, be.label, min(va."to") AS "to", best - coalesce(stay, be.alone) AS gain FROM be JOIN va ON va.id = be.id AND va."to" <> be.label AND value = best
+WHERE best > coalesce(stay, be.alone) GROUP BY ALL""")
+def modularity_moves(spark, d):
+    """One round's best moves, from communities named by the least of a vertex and its neighbours."""
+    g = materialize(part_graph(spark, d), "graph")
+    near = clustering.weighted(g)
+    state = near.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("label"), F.sum("w").alias("k"))
+    return clustering.best_moves(near, materialize(state, "state"))
+
+
+@query()
+def modularity_partition(spark, d):
+    """Four parts of linked communities by modularity, each edge in the parts of both its ends."""
+    g = materialize(part_graph(spark, d), "graph")
+    return clustering.with_halo(g, clustering.vertex_parts(g, 4))

@@ -107,6 +107,29 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str = "resu
             _delete(spark, path)
 
 
+def tidied(spark: SparkSession, make: Callable[[], DataFrame], tag: str = "result") -> DataFrame:
+    """As :func:`settled`, but a result that needed no table on its way is returned as the plan it is."""
+    tables: list[str] = []
+    token = _SCOPE.set(tables)
+    try:
+        df = make()
+        _SCOPE.reset(token)
+        token = None
+        return materialize(df, tag) if tables else df
+    finally:
+        if token is not None:
+            _SCOPE.reset(token)
+        for path in tables:
+            _delete(spark, path)
+
+
+def scoped(path: str) -> str:
+    """``path``, which is deleted with the tables of the innermost call of :func:`settled` or :func:`tidied`."""
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
+    return path
+
+
 class Grown:
     """A table in the shared folder that rounds append to; a round that is run again after a failure leaves no half of a write."""
 
