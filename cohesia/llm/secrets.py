@@ -52,7 +52,7 @@ _PLUS = re.compile(r"(?:\s|\\\n)*(?:\+|\.\.|\|\|)(?:\s|\\\n)*")
 _GAP, _LINE_GAP = re.compile(r"(?:\s|\\\n)*"), re.compile(r"[ \t]*(?:\\\n[ \t]*)?")
 _BLOCK_MARK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[ \t]*\n")
 _SCHEME = re.compile(r"(?i:bearer|basic|token)[ \t]+(?=\S)")
-_LINE = re.compile(r"[ \t]*(?:export[ \t]+)?\Z")
+_LINE = re.compile(r"([ \t]*)(?:export[ \t]+)?")
 _COMMA = re.compile(r"\s*,\s*")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)[^<>]*>([^<>]*)</\1\s*>")
 #: Names of an assignment whose value names what the next assignment, called value, holds.
@@ -129,6 +129,7 @@ class Lexer:
 
     def read(self) -> list[Definition]:
         text, done, line, newline = self.text, 0, 0, self.text.find("\n")
+        read, lead = 0, _LINE.match(text)
         for op in _OPERATOR.finditer(text):
             at = op.start()
             if at < done:
@@ -144,8 +145,10 @@ class Lexer:
                 value_at = op.end()
                 if not names or (op[0] == ":" and (text.startswith("//", value_at) or _TYPED.match(text, value_at))):
                     continue
-            whole = _LINE.match(text[line : self._name_start] if self._name_start - line < 16 else "x") is not None
-            done = max(done, self._value(names, value_at, op[0], whole and self._name_start >= line))
+            if line != read:
+                read, lead = line, _LINE.match(text, line)
+            whole = line <= self._name_start <= lead.end(1) or self._name_start == lead.end()
+            done = max(done, self._value(names, value_at, op[0], whole))
         for m in _ELEMENT.finditer(text):
             inner = m[2].strip()
             if inner:

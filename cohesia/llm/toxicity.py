@@ -198,9 +198,7 @@ def _spaced_words(block: str, restorer: Restorer) -> Iterator[str]:
     for m in _SPACED_OUT.finditer(block):
         run = _BLANKS.sub(" ", m[0])
         found = restorer.restore(run, True).split(" ")
-        for part in (run, run[2:], run[:-2], run[2:-2]):
-            if len(part) <= 2 * LONGEST:
-                found.append(restorer.restore(part))
+        found += map(restorer.restore, (run, run[2:], run[:-2], run[2:-2]))
         yield from dict.fromkeys(found)
 
 

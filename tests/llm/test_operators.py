@@ -406,6 +406,16 @@ def test_secret_lexer(text, literals):
     assert [text[s:e] for s, e, _ in sorted(set(literal_spans(text)))] == literals
 
 
+@pytest.mark.parametrize("depth", [0, 1, 15, 16, 17, 200, 100_000])
+@pytest.mark.parametrize("lead", ["", "export "])
+def test_secret_lexer_at_any_depth(depth, lead):
+    from cohesia.llm.secrets import literal_spans
+
+    for blank in " \t":
+        text = f"top:\n{blank * depth}{lead}client_pwd: hunterhunter\nx: y"
+        assert [text[s:e] for s, e, _ in sorted(set(literal_spans(text)))] == ["hunterhunter"]
+
+
 def test_secret_lexer_on_planted_files():
     """Random files of assignments in many syntaxes: every planted secret is a span, and no harmless value is."""
     from cohesia.llm.secrets import scan
@@ -1093,3 +1103,17 @@ def test_hidden_words_of_any_length(spark, size):
     assert "idiot" in set(t.restored_words("i" * (size - 4) + "di0t", restorer))
     spaced = " ".join("youaresuchaloser" * (size // 16) + "idiot")
     assert "idiot" in set(t.restored_words(spaced, restorer))
+
+
+@pytest.mark.parametrize("letters", [64, 65, 129, 10_000])
+def test_runs_of_any_length_are_read_as_one_word(spark, letters):
+    """A run that the model would divide is also read whole, so that what it begins with is a feature."""
+    from cohesia.llm import toxicity as t
+
+    class Dividing(t.Restorer):
+        def restore(self, token, words=False):
+            return super().restore(token, words) if not words else token
+
+    restorer = Dividing(t.language_model(docs_frame(spark, [INSULTS * 20]), "text"))
+    run = " ".join("idiot" + "an" * (letters // 2))
+    assert any("idiot~" in t.features(w) for w in t.restored_words(f"so {run} it is", restorer))
