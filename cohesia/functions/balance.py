@@ -78,6 +78,46 @@ def split_for_parts(supports: DataFrame, parts: int) -> DataFrame:
     return found.select(F.inline(F.array(*(F.struct(F.lit(i).cast("long").alias("part"), e.cast("long").alias("level")) for i, e in enumerate(ends)))))
 
 
+def _ends(found: Sequence[int]) -> list[int]:
+    """Levels at which parts end, from the levels found: the first is 2 at least, one that does not exceed the one before is that plus 2."""
+    out: list[int] = []
+    for l in found:
+        out.append(max(l, 2) if not out else l if l > out[-1] else out[-1] + 2)
+    return out
+
+
+def _as_parts(supports: DataFrame, found: Sequence[int]) -> DataFrame:
+    return supports.sparkSession.createDataFrame(list(enumerate(_ends(found))), "part long, level long")
+
+
+def split_nonzero_for_parts(supports: DataFrame, parts: int) -> DataFrame:
+    """``(part, level)`` over edges in triangles: the first part takes two thirds of them, each further one a third of that number
+    than the one before, out of the edges from its start on; all of those where there are fewer.
+    """
+    levels = materialize(_levels(supports.where("support > 0")), "levels")
+    edges = levels.agg(F.max("edges")).first()[0] or 0
+    need, taken, found = edges // 3 * 2, 0, []
+    for _ in range(parts - 1 if edges else 0):
+        # one row a part: the level, and what is below it
+        row = levels.where(F.col("below") >= min(taken + need, edges)).orderBy("l").select("l", "below").first()
+        found.append(row["l"])
+        taken, need = max(taken, row["below"]), need // 3
+    release(levels)
+    return _as_parts(supports, found)
+
+
+def split_by_triangles_for_parts(supports: DataFrame, parts: int) -> DataFrame:
+    """``(part, level)``: below the first level supports add up to a part's share of all, below each further one to twice as much as before, or to all."""
+    levels = materialize(_levels(supports), "levels")
+    total = levels.agg(F.max("total")).first()[0]
+    if total is None or parts < 2:
+        return _as_parts(supports, [])
+    needs = [min(total // parts * 2**i, total) for i in range(parts - 1)]
+    row = levels.agg(*(F.min(F.when(F.col("mass") >= n, F.col("l"))).alias(str(i)) for i, n in enumerate(needs))).first()
+    release(levels)
+    return _as_parts(supports, list(row))
+
+
 def equal_cost_batches(rows: DataFrame, place: str, cost: str, batch: int) -> DataFrame:
     """``(place, cost, batch)``: rows in the order of a dense number, a new batch for each ``batch`` of cost before."""
     sums = prefix_sums(rows.select(place, F.col(cost).alias("_size"), cost), place, "_size")

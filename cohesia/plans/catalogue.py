@@ -15,6 +15,7 @@ from cohesia.functions import balance, ragged
 from cohesia.operators import canonical, clustering, parts, sets, tiles, triangles, truss
 from cohesia.operators.access import Graph
 from cohesia.runtime import materialize, scoped, tidied, work_dir
+from cohesia.sources.arrays import read_binary_csr, write_binary_csr
 from cohesia.sources.edges import pairs_within, part_graph, write_edge_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,6 +138,15 @@ def csr_offsets(spark, d):
     return Graph(part_graph(spark, d)).csr()[0].select("idx", "id", "start", "end")
 
 
+@query(with_(G, BOTH) + "SELECT i.idx, j.idx AS nbr FROM both_ways JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS idx FROM (SELECT DISTINCT v FROM both_ways)) i USING (v) JOIN (SELECT v AS w, row_number() OVER (ORDER BY v) - 1 AS idx FROM (SELECT DISTINCT v FROM both_ways)) j USING (w)")
+def binary_csr_round_trip(spark, d):
+    """The two binary files of the graph in both directions, written at their places and read again."""
+    folder = scoped(f"{work_dir(spark)}/csr-{uuid.uuid4().hex}")
+    offsets, columns = Graph(part_graph(spark, d)).csr(symmetric=True, by="id")
+    write_binary_csr(offsets, columns, folder)
+    return read_binary_csr(spark, folder)
+
+
 @query(_O + "SELECT row_number() OVER (ORDER BY dst_idx, src_idx) - 1 AS place, dst_idx, edge_id FROM o")
 def in_edge_index(spark, d):
     edges = canonical.oriented_index(part_graph(spark, d))[1]
@@ -516,6 +526,32 @@ def level_splits_for_four_parts(spark, d):
     return balance.split_for_parts(triangles.support(part_graph(spark, d)), 4)
 
 
+_BUMPED = """x AS (SELECT greatest(a, 2) AS a, b, e FROM ends), y AS (SELECT a, CASE WHEN b > a THEN b ELSE a + 2 END AS b, e FROM x)
+SELECT unnest([0, 1, 2])::BIGINT AS part, unnest([a, b, CASE WHEN e > b THEN e ELSE b + 2 END])::BIGINT AS level FROM y"""
+
+
+@query(
+    with_(G, TRI, SUP, _LEVELS_NONZERO).rstrip()
+    + """, c AS (SELECT max(edges)::BIGINT AS m, max(edges)::BIGINT // 3 * 2 AS n FROM lv),
+p AS (SELECT min(l) AS a, min(below)::BIGINT AS t FROM lv, c WHERE below >= n),
+q AS (SELECT min(l) AS b, min(below)::BIGINT AS u FROM lv, c, p WHERE below >= least(t + n // 3, m)),
+ends AS (SELECT a, b, (SELECT min(l) FROM lv WHERE below >= least(greatest(t, u) + n // 3 // 3, m)) AS e FROM c, p, q), """
+    + _BUMPED
+)
+def level_splits_nonzero_for_four_parts(spark, d):
+    return balance.split_nonzero_for_parts(triangles.support(part_graph(spark, d)), 4)
+
+
+@query(
+    with_(G, TRI, SUP, _LEVELS).rstrip()
+    + """, c AS (SELECT max(total)::BIGINT AS m, max(total)::BIGINT // 4 AS n FROM lv),
+ends AS (SELECT (SELECT min(l) FROM lv WHERE mass >= n) AS a, (SELECT min(l) FROM lv WHERE mass >= least(2 * n, m)) AS b, (SELECT min(l) FROM lv WHERE mass >= least(4 * n, m)) AS e FROM c), """
+    + _BUMPED
+)
+def level_splits_by_triangles_for_four_parts(spark, d):
+    return balance.split_by_triangles_for_parts(triangles.support(part_graph(spark, d)), 4)
+
+
 @query(_S + "SELECT l, count(*) FILTER (support < l) AS edges FROM s, (SELECT unnest([1, 2, 4, 8]) AS l) GROUP BY l")
 def edges_below_support(spark, d):
     s = triangles.support(part_graph(spark, d))
