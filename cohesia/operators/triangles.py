@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from cohesia.operators.canonical import degrees, doubled, orient
+from cohesia.runtime import materialize, release
 
 
 def with_edge_ids(edges: DataFrame) -> DataFrame:
@@ -65,8 +68,37 @@ def support(edges: DataFrame) -> DataFrame:
     return sides.unionByName(edges.select("src", "dst", F.lit(0).alias("n"))).groupBy("src", "dst").agg(F.sum("n").cast("int").alias("support"))
 
 
-def support_capped(edges: DataFrame, cap: int) -> DataFrame:
-    return support(edges).select("src", "dst", F.least("support", F.lit(cap)).alias("support"))
+def support_capped(edges: DataFrame, cap: int, slices: int = 4, trace: list[int] | None = None) -> DataFrame:
+    """``(src, dst, support)`` with supports of at most ``cap``; an edge is not counted further once it has that many.
+
+    Third corners come in ``slices`` by their hash. In each, an edge meets the neighbours of its end of lower degree, and those that are
+    neighbours of the other end too are counted; edges that reach the cap are in no further slice. A neighbour list is written
+    once, by slices, and each is read in its own. ``trace`` gets the number of edges that each slice counts for.
+    """
+    plain = materialize(edges.select("src", "dst"), "edges")
+    both = doubled(plain).select(F.col("src").alias("v"), F.col("dst").alias("w"), F.pmod(F.xxhash64("dst"), F.lit(slices)).cast("int").alias("slice"))
+    lists = materialize(both, "near", by=["slice"])
+    size = degrees(plain)
+    for end in ("src", "dst"):
+        plain = plain.join(size.select(F.col("id").alias(end), F.col("degree").alias(f"{end}_degree")), end)
+    first = F.col("src_degree") <= F.col("dst_degree")
+    # an edge whose end has no other neighbour is in no triangle
+    ends = plain.select("src", "dst", F.when(first, F.col("src")).otherwise(F.col("dst")).alias("v"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("o"), (F.least("src_degree", "dst_degree") > 1).alias("may"))
+    counts = materialize(ends.select("src", "dst", "v", "o", "may", F.lit(0).alias("n")), "counts")
+    full = []
+    for i in range(slices):
+        near = lists.where(F.col("slice") == i).select("v", "w")
+        open_ = counts.where("may").where(F.col("n") < cap)
+        if trace is not None:
+            trace.append(open_.count())
+        wedges = open_.select("src", "dst", "v", "o").join(near, "v").where("w <> o").select("src", "dst", "o", "w")
+        closed = wedges.join(near.withColumnRenamed("v", "o"), ["o", "w"]).groupBy("src", "dst").agg(F.count("*").alias("more"))
+        # edges that are done stay where they are
+        full.append(counts.where(~F.col("may") | (F.col("n") >= cap)).select("src", "dst", "n"))
+        left = open_.join(closed, ["src", "dst"], "left").select("src", "dst", "v", "o", "may", F.least(F.col("n") + F.coalesce("more", F.lit(0)), F.lit(cap)).cast("int").alias("n"))
+        counts = materialize(left, "counts")
+    release(plain, lists)
+    return reduce(DataFrame.unionByName, full, counts.select("src", "dst", "n")).select("src", "dst", F.col("n").alias("support"))
 
 
 def support_histogram(edges: DataFrame) -> DataFrame:

@@ -7,11 +7,16 @@ that is checked, one task finishes them in a few array operations per level. Bot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cohesia.operators.canonical import doubled
@@ -97,33 +102,53 @@ def trussness_h_index(edges: DataFrame) -> DataFrame:
     return g.labelled(_by_h_index(g), "trussness", 2)
 
 
-def _by_h_index(g: Listed) -> DataFrame:
+def _by_h_index(g: Listed, compact: float = 0.25, trace: list[tuple[int, int]] | None = None) -> DataFrame:
     """Local fix point (Sariyuce, Seshadhri, Pinar, 2018): an edge's value becomes the h-index of what its triangles hold.
 
     A triangle offers an edge the least value of its other two. Offers are counted per value before they are ranked, so
     an edge in very many triangles is ranked over few rows.
+
+    After the first round only edges that can change are looked at: those in a triangle with an edge that fell below their own value.
+    Values that fall go to a log; the table of all values is written again when the log holds more than ``compact`` times its rows.
+    ``trace`` gets each round's numbers of edges looked at and of edges that fell.
     """
+    spark = g.edges.sparkSession
     turns = ((0, 1, 2), (1, 0, 2), (2, 0, 1))
     rows = F.array(*(F.struct(F.col(_SIDES[i]).alias("e"), F.col(_SIDES[j]).alias("f"), F.col(_SIDES[k]).alias("g")) for i, j, k in turns))
     incident = materialize(g.triangles.select(F.inline(rows)), "incident")
     values = materialize(_counts(g.triangles).withColumnRenamed("s", "v"), "values")
-    total = values.agg(F.sum("v")).first()[0] or 0
+    n, logged, active, log = values.count(), 0, None, Grown(spark, "e long, v int", "fallen")
+    now = values
     for _ in range(MAX_ROUNDS):
-        f, h, own = (values.select(F.col("e").alias(a), F.col("v").alias(b)) for a, b in (("f", "vf"), ("g", "vg"), ("e", "v")))
-        offers = incident.join(f, "f").join(h, "g").select("e", F.least("vf", "vg").alias("o")).groupBy("e", "o").agg(F.count("*").alias("n"))
+        looked = incident if active is None else incident.join(active, "e", "left_semi")
+        f, h, own = (now.select(F.col("e").alias(a), F.col("v").alias(b)) for a, b in (("f", "vf"), ("g", "vg"), ("e", "v")))
+        offers = looked.join(f, "f").join(h, "g").select("e", F.least("vf", "vg").alias("o")).groupBy("e", "o").agg(F.count("*").alias("n"))
         reach = F.sum("n").over(W.partitionBy("e").orderBy(F.desc("o")))
-        indexed = offers.select("e", F.least("o", reach).alias("h")).groupBy("e").agg(F.max("h").alias("h"))
-        new = materialize(own.join(indexed, "e").select("e", F.least("v", "h").cast("int").alias("v")), "values")
-        left = new.agg(F.sum("v")).first()[0] or 0
-        release(values)
-        values = new
-        if left == total:
+        indexed = offers.select("e", F.least("o", reach).cast("int").alias("h")).groupBy("e").agg(F.max("h").alias("h"))
+        fallen = materialize(own.join(indexed, "e").where("h < v").select("e", F.col("h").alias("v")), "fallen")
+        n_fallen = fallen.count()
+        if trace is not None:
+            trace.append((n if active is None else active.count(), n_fallen))
+        release(active)
+        if not n_fallen:
+            release(fallen)
             break
-        total = left
+        log.append(fallen)
+        logged += n_fallen
+        least = log.table().groupBy("e").agg(F.min("v").alias("low"))
+        now = values.join(least, "e", "left").select("e", F.least("v", "low").alias("v"))
+        if logged > compact * n:
+            old, values = values, materialize(now, "values")
+            release(old)
+            now, logged, log = values, 0, Grown(spark, "e long, v int", "fallen")
+        beside = F.array(F.struct(F.col("f").alias("e"), "v"), F.struct(F.col("g").alias("e"), "v"))
+        reached = incident.join(fallen, "e").select(F.inline(beside)).groupBy("e").agg(F.min("v").alias("w"))
+        active = materialize(now.join(reached, "e").where("v > w").select("e"), "active")
+        release(fallen)
     else:
         raise RuntimeError("no fixed point")
     release(incident)
-    return values.select("e", (F.col("v") + 2).cast("int").alias("trussness"))
+    return now.select("e", (F.col("v") + 2).cast("int").alias("trussness"))
 
 
 def trussness_peel(edges: DataFrame, local_below: int = 0, stop: int | None = None) -> DataFrame:
@@ -273,6 +298,21 @@ def _round(tri: DataFrame, counts: DataFrame, level: int) -> tuple[DataFrame, Da
     return left, again, dying, left.count()
 
 
+def _within_truss(g: Listed, k: int, local_below: int) -> tuple[DataFrame, int]:
+    """Triangles, and their number, that hold all of the k-truss: its own, or some more where no more than ``local_below`` are left."""
+    tri, n, before = g.triangles, g.n_triangles, None
+    while n > local_below and n != before:
+        before = n
+        weak = materialize(_counts(tri).where(F.col("s") < k - 2).select("e"), "dying")
+        old = tri
+        for side in _SIDES:
+            tri = tri.join(weak.withColumnRenamed("e", side), side, "left_anti")
+        tri = materialize(tri.select(*_SIDES), "triangles")
+        release(weak, old if old is not g.triangles else None)
+        n = tri.count()
+    return tri, n
+
+
 def k_truss(edges: DataFrame, k: int, local_below: int = LOCAL_BELOW) -> DataFrame:
     """``(src, dst)`` of the k-truss: the largest set of edges of which each closes k - 2 triangles within the set."""
     if k <= 2:
@@ -280,16 +320,7 @@ def k_truss(edges: DataFrame, k: int, local_below: int = LOCAL_BELOW) -> DataFra
     g = Listed.of(edges)
     tri, n = g.triangles, g.n_triangles
     if k > 3:
-        before = None
-        while n > local_below and n != before:
-            before = n
-            weak = materialize(_counts(tri).where(F.col("s") < k - 2).select("e"), "dying")
-            old = tri
-            for side in _SIDES:
-                tri = tri.join(weak.withColumnRenamed("e", side), side, "left_anti")
-            tri = materialize(tri.select(*_SIDES), "triangles")
-            release(weak, old)
-            n = tri.count()
+        tri, n = _within_truss(g, k, local_below)
         if n <= local_below:
             kept = _in_one_task(tri, k - 3).where(F.col("trussness") >= k).select("e")
             return g.edges.join(kept, "e", "left_semi").select("src", "dst")
@@ -332,3 +363,32 @@ def trussness_between(edges: DataFrame, low: int | None = None, high: int | None
         found = g.labelled(_in_one_task(g.triangles, high - 2) if one else _by_peeling(g, local_below, high), "trussness", 2)
         found = found.where(F.col("trussness") <= high)
     return found if low is None else found.where(F.col("trussness") >= low)
+
+
+def trussness_by_ranges(edges: DataFrame, starts: Sequence[int], local_below: int = LOCAL_BELOW, times: list[tuple[float, float]] | None = None) -> DataFrame:
+    """``(src, dst, trussness)`` by ranges that are decomposed side by side, as jobs of one session that run at the same time.
+
+    A range begins at each of ``starts`` and ends before the next one; the first also has what is below. Triangles are listed once. Each
+    range takes those of its own truss, inside which trussness is the same as in the whole graph, and peels up to its last level.
+    ``times`` gets the seconds at which each range began and ended.
+    """
+    g = Listed.of(edges)
+    lows = [None, *sorted({s for s in starts if s > 2})]
+    highs = [s - 1 for s in lows[1:]] + [None]
+
+    def one(low: int | None, high: int | None) -> DataFrame:
+        began = time.monotonic()
+        tri, n = (g.triangles, g.n_triangles) if low is None or low <= 3 else _within_truss(g, low, local_below)
+        within = Listed(g.edges, tri, n)
+        found = _in_one_task(tri, None if high is None else high - 2) if n <= local_below else _by_peeling(within, 0, high)
+        kept = found if high is None else found.where(F.col("trussness") <= high)
+        out = materialize(kept if low is None else kept.where(F.col("trussness") >= low), "range")
+        if times is not None:
+            times.append((began, time.monotonic()))
+        return out
+
+    with ThreadPoolExecutor(len(lows)) as pool:
+        # a thread has its own copy of the context, so its tables are deleted with the caller's
+        begun = [pool.submit(copy_context().run, inheritable_thread_target(edges.sparkSession)(one), low, high) for low, high in zip(lows, highs)]
+        found = [x.result() for x in begun]
+    return g.labelled(reduce(DataFrame.unionByName, found), "trussness", 2)

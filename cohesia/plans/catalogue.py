@@ -437,6 +437,14 @@ def trussness_by_parts(spark, d):
     return parts.trussness_by_parts(g, balance.communities(g).select("id", F.col("label").alias("part")), 500)
 
 
+@query(_T + "SELECT src, dst, trussness FROM tr")
+def trussness_by_ranges(spark, d):
+    """Ranges that end where supports split into four parts, peeled in rounds side by side."""
+    g = materialize(part_graph(spark, d), "graph")
+    ends = balance.split_by_triangles_for_parts(triangles.support(g), 4).collect()
+    return truss.trussness_by_ranges(g, [r.level + 2 for r in ends], local_below=0)
+
+
 @query(_T + """, n AS (SELECT trussness, count(*) AS edges FROM tr WHERE trussness > 2 GROUP BY 1)
 SELECT trussness, edges, (sum(edges) OVER w - edges)::BIGINT AS "start", (sum(edges) OVER w)::BIGINT AS "end" FROM n WINDOW w AS (ORDER BY trussness)""")
 def truss_layers(spark, d):

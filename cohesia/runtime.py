@@ -13,7 +13,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from contextvars import ContextVar
 from functools import cache
 from pathlib import Path
@@ -57,10 +57,10 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
+def materialize(df: DataFrame, tag: str = "t", by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in folders by the columns ``by``, and read it back."""
     path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     if (scope := _SCOPE.get()) is not None:
         scope.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
