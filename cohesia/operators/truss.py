@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cohesia.operators.canonical import doubled
 from cohesia.operators.triangles import support, triangles, with_edge_ids
-from cohesia.runtime import Grown, materialize, release
+from cohesia.runtime import Grown, counted, materialize, release
 
 #: Triangles that one task may finish: three ids each, 48 MB, and about five times that at work.
 LOCAL_BELOW = 2_000_000
@@ -108,43 +108,49 @@ def _by_h_index(g: Listed, compact: float = 0.25, trace: list[tuple[int, int]] |
     A triangle offers an edge the least value of its other two. Offers are counted per value before they are ranked, so
     an edge in very many triangles is ranked over few rows.
 
-    After the first round only edges that can change are looked at: those in a triangle with an edge that fell below their own value.
-    Values that fall go to a log; the table of all values is written again when the log holds more than ``compact`` times its rows.
+    A round in which more than ``compact`` times all edges fell is followed by one that looks at all of them and writes all values. Otherwise the
+    next one looks only at edges that can change: those in a triangle with an edge that fell below their own value. What falls then goes to
+    a log; all values are written again when the log holds more than ``compact`` times their number. Both kinds of rounds give the same values.
     ``trace`` gets each round's numbers of edges looked at and of edges that fell.
     """
     spark = g.edges.sparkSession
     turns = ((0, 1, 2), (1, 0, 2), (2, 0, 1))
     rows = F.array(*(F.struct(F.col(_SIDES[i]).alias("e"), F.col(_SIDES[j]).alias("f"), F.col(_SIDES[k]).alias("g")) for i, j, k in turns))
     incident = materialize(g.triangles.select(F.inline(rows)), "incident")
-    values = materialize(_counts(g.triangles).withColumnRenamed("s", "v"), "values")
-    n, logged, active, log = values.count(), 0, None, Grown(spark, "e long, v int", "fallen")
-    now = values
+    values, n = counted(_counts(g.triangles).withColumnRenamed("s", "v"), lambda t: materialize(t, "values"))
+    now, active, n_active, logged, log = values, None, n, 0, None
     for _ in range(MAX_ROUNDS):
         looked = incident if active is None else incident.join(active, "e", "left_semi")
         f, h, own = (now.select(F.col("e").alias(a), F.col("v").alias(b)) for a, b in (("f", "vf"), ("g", "vg"), ("e", "v")))
         offers = looked.join(f, "f").join(h, "g").select("e", F.least("vf", "vg").alias("o")).groupBy("e", "o").agg(F.count("*").alias("n"))
         reach = F.sum("n").over(W.partitionBy("e").orderBy(F.desc("o")))
         indexed = offers.select("e", F.least("o", reach).cast("int").alias("h")).groupBy("e").agg(F.max("h").alias("h"))
-        fallen = materialize(own.join(indexed, "e").where("h < v").select("e", F.col("h").alias("v")), "fallen")
-        n_fallen = fallen.count()
+        both = own.join(indexed, "e")
+        if active is None:
+            old = values
+            fell = both.select("e", F.least("v", "h").alias("v"), (F.col("h") < F.col("v")).alias("fell"))
+            values, n_fallen = counted(fell, lambda t: materialize(t, "values"), F.col("fell"))
+            now, fallen, logged, log = values.select("e", "v"), values.where("fell").select("e", "v"), 0, Grown(spark, "e long, v int", "fallen")
+            release(old)
+        else:
+            _, n_fallen = counted(both.where("h < v").select("e", F.col("h").alias("v")), log.append)
+            fallen = log.last()
+            now = values.select("e", "v").join(log.table().groupBy("e").agg(F.min("v").alias("low")), "e", "left").select("e", F.least("v", "low").alias("v"))
+            logged += n_fallen
         if trace is not None:
-            trace.append((n if active is None else active.count(), n_fallen))
+            trace.append((n_active, n_fallen))
         release(active)
         if not n_fallen:
-            release(fallen)
             break
-        log.append(fallen)
-        logged += n_fallen
-        least = log.table().groupBy("e").agg(F.min("v").alias("low"))
-        now = values.join(least, "e", "left").select("e", F.least("v", "low").alias("v"))
         if logged > compact * n:
-            old, values = values, materialize(now, "values")
-            release(old)
+            # what fell last is still read from the old log, which goes with the caller's tables
+            values = materialize(now, "values")
             now, logged, log = values, 0, Grown(spark, "e long, v int", "fallen")
-        beside = F.array(F.struct(F.col("f").alias("e"), "v"), F.struct(F.col("g").alias("e"), "v"))
-        reached = incident.join(fallen, "e").select(F.inline(beside)).groupBy("e").agg(F.min("v").alias("w"))
-        active = materialize(now.join(reached, "e").where("v > w").select("e"), "active")
-        release(fallen)
+        active, n_active = None, n
+        if n_fallen <= compact * n:
+            beside = F.array(F.struct(F.col("f").alias("e"), "v"), F.struct(F.col("g").alias("e"), "v"))
+            reached = incident.join(fallen, "e").select(F.inline(beside)).groupBy("e").agg(F.min("v").alias("w"))
+            active, n_active = counted(now.join(reached, "e").where("v > w").select("e"), lambda t: materialize(t, "active"))
     else:
         raise RuntimeError("no fixed point")
     release(incident)

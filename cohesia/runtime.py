@@ -17,8 +17,11 @@ from collections.abc import Callable, Sequence
 from contextvars import ContextVar
 from functools import cache
 from pathlib import Path
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+T = TypeVar("T")
 
 
 @cache
@@ -68,6 +71,13 @@ def materialize(df: DataFrame, tag: str = "t", by: Sequence[str] = ()) -> DataFr
     return out
 
 
+def counted(df: DataFrame, write: Callable[[DataFrame], T], rows: Column | None = None) -> tuple[T, int]:
+    """What ``write`` returns, and how many rows it wrote, or how many for which ``rows`` holds; there is no second job for the number."""
+    seen = Observation()
+    out = write(df.observe(seen, F.count(F.when(F.lit(True) if rows is None else rows, 1)).alias("n")))
+    return out, seen.get.get("n") or 0
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete tables made by :func:`materialize` that no later plan reads."""
     for df in frames:
@@ -143,6 +153,10 @@ class Grown:
         df.write.mode("overwrite").parquet(f"{self.path}/part={self.parts}")
         self.parts += 1
 
+    def last(self) -> DataFrame:
+        """What was appended last."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part={self.parts - 1}")
+
     def table(self) -> DataFrame:
         if not self.parts:
             return self.spark.createDataFrame([], self.schema)

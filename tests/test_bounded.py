@@ -19,7 +19,7 @@ def as_rows(found):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("compact", [0.0, 10.0])
+@pytest.mark.parametrize("compact", [0.0, 0.25, 10.0])
 def test_h_index_by_what_fell(spark, seed, compact):
     edges = made(seed)
     g = truss.Listed.of(frame(spark, edges))
