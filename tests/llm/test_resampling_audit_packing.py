@@ -241,6 +241,35 @@ def test_encoder_equals_the_tokenizer(monkeypatch):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_of_tables_equals_the_tokenizer(monkeypatch):
+    import pyarrow as pa
+
+    from cohesia.llm import packing
+
+    whole, encoder, rng = Tokenizer.from_file(TOKENIZER), packing.Encoder(definition()), random.Random(8)
+    spaces = [chr(c) for c in (9, 10, 11, 12, 13, 28, 31, 32, 0x85, 0xA0, 0x1680, 0x180E, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    bits = [*spaces, " ", "  ", "\n", "\n\n", "a", "Zé", "ł", "ɐ", "×", "÷", "ª", "я", "日", "’", "𝒳", "😀", "\u0301", "\0", "\x7f", "'", "''", "'s", "'re", "_", "<", "!?", "7", "²", "٣", "<|endoftext|>"]
+    for n in range(400):
+        monkeypatch.setattr(packing, "_BLOCK", rng.choice([1, 9, 60, 1 << 23]))
+        texts = ["".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 2, 3, 12, 40]))) for _ in range(rng.randint(0, 12))]
+        table = pa.array(["x", *texts], rng.choice([pa.string(), pa.large_string()])).slice(1)
+        found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(table)]
+        assert found == [whole.encode(t, add_special_tokens=False).ids for t in texts], texts
+
+
+def test_encoder_asks_for_each_token_once():
+    """Marks that stand together and hard spaces don't make new stretches of known words, nor does a worker's next task forget them."""
+    from cohesia.llm import packing
+
+    asked, encoder = [], packing.Encoder(definition())
+    model, encode = encoder._model, encoder._encode
+    encoder._model = lambda word: asked.append(word) or model(word)
+    encoder._encode = lambda text, **options: asked.append(text) or encode(text, **options)
+    encoder.ids("alpha,beta7(alpha).beta;7alpha\xa0 " + "gamma beta\n\n" * 500 + "(beta)\u3000" + " alpha" * 500)
+    assert len(asked) < 25 and max(map(len, asked)) < 12
+    assert packing.encoder(definition()) is packing.encoder(definition())
+
+
 def test_encoder_of_other_pretokenizers():
     from tokenizers import Tokenizer, models, pre_tokenizers
 
