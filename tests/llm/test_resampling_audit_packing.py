@@ -100,6 +100,22 @@ def test_importance_of_awkward_tables(spark):
     assert [rows[i]["n_features"] for i in (2, 3, 4)] == [0, 0, 0] and [rows[i]["weight"] for i in (2, 3, 4)] == [0, 0, 0]
 
 
+def test_importance_query_against_sql(spark):
+    """By DuckDB's own rows, in which a null rank is None however its data frames write it."""
+    import duckdb
+
+    from cohesia.llm.queries import QUERIES, SQL
+
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    columns = ("doc_id", "n_features", "weight", "score", "rank")
+    found = QUERIES["op11_importance_resampling"](spark, data).select(*columns).collect()
+    expected = con.execute(f"SELECT {', '.join(columns)} FROM ({SQL['op11_importance_resampling']})").fetchall()
+    assert any(r[4] is None for r in expected) and any(r[4] for r in expected)
+    assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
+
+
 # filter audit
 
 
