@@ -6,20 +6,21 @@ if modularity, which is counted, has grown. Otherwise each community gives and t
 communities, so their gains do add up. Modularity never falls, whatever the graph. A level's communities become the vertices of the next
 level's weighted graph.
 
-Communities are then linked by average weight: in each round those that are each other's best partner merge, up to a size that keeps parts alike. No
-matrix of communities is formed, and nothing but sums reaches the driver.
+Communities are then linked by average weight: in each round those that are each other's best partner merge, up to a size that keeps parts alike, until
+no two are left that may. No matrix of communities is formed, and nothing but sums reaches the driver.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohesia.operators.canonical import dense_index, doubled
-from cohesia.runtime import materialize, release
+from cohesia.runtime import Grown, counted, materialize, release
 
 #: A level ends, and so do levels, when modularity grows by less.
 LEAST_GAIN = 0.01
-MAX_ROUNDS, MAX_LEVELS = 60, 30
 #: A linked community has at most this share of a part's mean number of vertices.
 SLACK = 0.25
 
@@ -87,7 +88,7 @@ def _level(near: DataFrame, least_gain: float) -> tuple[DataFrame, list[float]]:
     """The communities after one level's rounds, and modularity after each round that was kept."""
     state = materialize(_start(near), "communities")
     reached, idle = [modularity(near, state)], 0
-    for turn in range(MAX_ROUNDS):
+    for turn in count():  # two rounds that gain less than ``least_gain`` end it, and no modularity is above 1
         moves = materialize(best_moves(near, state), "moves")
         crossing = moves.where((_coin(F.col("label"), turn) == 1) & (_coin(F.col("to"), turn) == 0))
         new = _moved(state, crossing)
@@ -113,12 +114,12 @@ def _level(near: DataFrame, least_gain: float) -> tuple[DataFrame, list[float]]:
 def communities(edges: DataFrame, least_gain: float = LEAST_GAIN, trace: list[list[float]] | None = None) -> DataFrame:
     """``(id, label)`` of the vertices of canonical edges; label is a vertex of the community. ``trace`` gets each level's modularity after each round."""
     near, labels = materialize(weighted(edges), "weighted"), None
-    for _ in range(MAX_LEVELS):
+    while True:
         state, reached = _level(near, least_gain)
         if trace is not None:
             trace.append(reached)
         own = state.select("id", "label")
-        labels, old = materialize(own if labels is None else _renamed(labels, own), "labels"), labels
+        labels, old = materialize(own if labels is None else _named(labels, own.select(F.col("id").alias("label"), F.col("label").alias("to"))), "labels"), labels
         ends = [own.select(F.col("id").alias(x), F.col("label").alias(f"of_{x}")) for x in "uv"]
         upper = near.join(ends[0], "u").join(ends[1], "v").groupBy(F.col("of_u").alias("u"), F.col("of_v").alias("v")).agg(F.sum("w").alias("w"))
         upper, lower = materialize(upper, "weighted"), near
@@ -130,28 +131,67 @@ def communities(edges: DataFrame, least_gain: float = LEAST_GAIN, trace: list[li
     return labels
 
 
-def _renamed(labels: DataFrame, own: DataFrame) -> DataFrame:
-    return labels.join(own.select(F.col("id").alias("label"), F.col("label").alias("to")), "label").select("id", F.col("to").alias("label"))
-
-
-def linked(edges: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """``(id, label)`` with communities merged by average linkage as long as two that prefer each other have at most ``most`` vertices together."""
-    for _ in range(MAX_ROUNDS):
-        sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-        ends = [labels.select(F.col("id").alias(x), F.col("label").alias(y)) for x, y in (("src", "a"), ("dst", "b"))]
-        between = edges.select("src", "dst").join(ends[0], "src").join(ends[1], "dst").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("w"))
-        sized = between.join(sizes.select(F.col("label").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("label").alias("b"), F.col("n").alias("n_b")), "b").where(F.col("n_a") + F.col("n_b") <= most)
-        score = F.col("w") / (F.col("n_a") * F.col("n_b"))
-        both = sized.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), score.alias("score")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), score.alias("score")))))
-        best = materialize(both.groupBy("x").agg(F.max(F.struct("score", (-F.col("y")).alias("m"))).alias("best")).select("x", (-F.col("best.m")).alias("y")), "partners")
-        mutual = best.alias("p").join(best.alias("q"), (F.col("p.x") == F.col("q.y")) & (F.col("p.y") == F.col("q.x"))).where("p.x > p.y").select(F.col("p.x").alias("label"), F.col("p.y").alias("to"))
-        mutual = materialize(mutual, "merges")
-        if not mutual.limit(1).count():
-            return labels
-        new = materialize(labels.join(mutual, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
-        release(labels, best, mutual)
-        labels = new
-    raise RuntimeError("communities still merge")
+def _named(labels: DataFrame, names: DataFrame) -> DataFrame:
+    return labels.join(names, "label").select("id", F.col("to").alias("label"))
+
+
+def _pairs(edges: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``(a, b, w, n_a, n_b)``, a < b: communities with edges between them, their number and the sizes, of at most ``most`` vertices together."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    ends = [labels.select(F.col("id").alias(x), F.col("label").alias(y)) for x, y in (("src", "a"), ("dst", "b"))]
+    between = edges.select("src", "dst").join(ends[0], "src").join(ends[1], "dst").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("w"))
+    for end in "ab":
+        between = between.join(sizes.select(F.col("label").alias(end), F.col("n").alias(f"n_{end}")), end)
+    return between.where(F.col("n_a") + F.col("n_b") <= most).select("a", "b", "w", "n_a", "n_b")
+
+
+def _merges(pairs: DataFrame) -> DataFrame:
+    """``(a, b, n)``: the pairs that are the best of both their ends. Ties go by a hash of the pair, else a chain of ties would merge one pair a round."""
+    scored = pairs.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), (F.col("w") / (F.col("n_a") * F.col("n_b"))).alias("score"), F.xxhash64("a", "b").alias("toss"))
+    best = scored.select(F.struct("score", "toss", "a", "b", "n").alias("best"), F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.max("best").alias("best"))
+    return best.select("best.a", "best.b", "best.n").groupBy("a", "b").agg(F.max("n").alias("n"), F.count("*").alias("ends")).where("ends = 2").select("a", "b", "n")
+
+
+def _contracted(pairs: DataFrame, changed: DataFrame, most: int) -> DataFrame:
+    """The pairs after communities became ``to`` of ``n`` vertices. A pair over ``most`` never comes back, since communities only grow."""
+    for end in "ab":
+        now = changed.select(F.col("label").alias(end), F.col("to").alias("to"), F.col("n").alias("n"))
+        rest = [c for c in pairs.columns if c not in (end, f"n_{end}")]
+        pairs = pairs.join(now, end, "left").select(*rest, F.coalesce("to", end).alias(end), F.coalesce("n", f"n_{end}").alias(f"n_{end}"))
+    left = pairs.where((F.col("a") != F.col("b")) & (F.col("n_a") + F.col("n_b") <= most))
+    swap = F.col("a") > F.col("b")
+    keys = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("n_a", "n_b"), ("n_b", "n_a"))]
+    return left.select(*keys, "w").groupBy("a", "b", "n_a", "n_b").agg(F.sum("w").alias("w")).select("a", "b", "w", "n_a", "n_b")
+
+
+def linked(edges: DataFrame, labels: DataFrame, most: int, trace: list[int] | None = None) -> DataFrame:
+    """``(id, label)`` with communities merged by average linkage as long as two that prefer each other have at most ``most`` vertices together.
+
+    While a pair is left, the first of all in the order of preference is the best of both its ends, so each round merges some and the rounds
+    end by themselves. Only pairs of communities are written again, not edges. ``trace`` gets the number of merges of each round.
+    """
+    pairs, kind = materialize(_pairs(edges, labels, most), "pairs"), dict(labels.dtypes)["label"]
+    log = Grown(edges.sparkSession, f"a {kind}, b {kind}, n long", "merges")
+    while True:
+        _, n = counted(_merges(pairs), log.append)
+        if trace is not None:
+            trace.append(n)
+        if not n:
+            break
+        changed = log.last().select(F.explode(F.array("a", "b")).alias("label"), F.col("a").alias("to"), "n")
+        kept = materialize(_contracted(pairs, changed, most), "pairs")
+        release(pairs)
+        pairs = kept
+    # a community goes into another one once at most, so all merges are a forest; each round doubles the way up
+    names, n = materialize(log.table().select(F.col("b").alias("label"), F.col("a").alias("to")), "names"), 1
+    while n:
+        above = names.select(F.col("label").alias("to"), F.col("to").alias("next"))
+        jumped = names.select("label", "to").join(above, "to", "left").select("label", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("jumped"))
+        below, (names, n) = names, counted(jumped, lambda df: materialize(df, "names"), F.col("jumped"))
+        release(below)
+    out = materialize(labels.join(names.drop("jumped"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+    release(pairs, labels, names)
+    return out
 
 
 def vertex_parts(edges: DataFrame, parts: int, least_gain: float = LEAST_GAIN) -> DataFrame:

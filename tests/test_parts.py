@@ -79,6 +79,17 @@ def test_linking_prefers_average_weight(spark):
     assert sorted(map(sorted, found.values())) == [[0, 1, 2, 3, 4, 5], [6, 7, 8, 9, 10, 11]]
 
 
+def test_linking_goes_on_until_no_two_may_merge(spark):
+    # a path whose edges are all alike: with ties to the least vertex one pair merged a round, 60 rounds at most
+    path, trace = [(i, i + 1) for i in range(149)], []
+    labels = spark.createDataFrame([(v, v) for v in range(150)], "id long, label long")
+    of = {r.id: r.label for r in clustering.linked(frame(spark, path), labels, 2, trace).collect()}
+    size = Counter(of.values())
+    assert len(of) == 150 and max(size.values()) == 2
+    assert all(of[a] == of[b] or size[of[a]] + size[of[b]] > 2 for a, b in path)
+    assert trace[-1] == 0 and sum(trace) == 150 - len(size) and len(trace) < 15
+
+
 CASES = {
     "none": [],
     "path": [(1, 2), (2, 3), (3, 4)],
