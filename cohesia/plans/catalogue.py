@@ -280,7 +280,7 @@ def triangle_list(spark, d):
 
 @query(with_(G, TRI) + "SELECT a, b, c FROM t")
 def triangle_list_tiled(spark, d):
-    """By a grid of five buckets, 35 tiles, that edges are sent to; no wedges."""
+    """By a grid of five buckets, 35 tiles, or of more where those would be too large; edges are sent to tiles, no wedges."""
     return tiles.triangle_list_tiled(part_graph(spark, d), 5)
 
 

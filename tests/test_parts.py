@@ -145,6 +145,27 @@ def test_tiles_move_fewer_rows_than_wedges(spark, monkeypatch):
     assert sorted(map(tuple, np.sort(found, axis=1).tolist())) == rows(triangles.triangle_list(graph), "a", "b", "c")
 
 
+@pytest.mark.parametrize("edges", [complete(40), [(0, v) for v in range(1, 900)] + complete(20, 1000)], ids=["complete", "hub"])
+def test_a_grid_given_is_made_finer_where_tiles_hold_too_much(spark, edges):
+    oriented = tiles.tiled(frame(spark, edges), 1).select("src", "dst").cache()
+    buckets = tiles.buckets_that_fit(oriented, len(edges), 2, 200)
+    sizes = [r["count"] for r in tiles.tiled(frame(spark, edges), buckets).groupBy("tile").count().collect()]
+    assert max(sizes) == tiles.largest_tile(oriented, buckets) <= tiles.TILE_SLACK * 200
+    assert tiles.largest_tile(oriented, 2) > tiles.TILE_SLACK * 200 and tiles.buckets_that_fit(oriented, len(edges), 7, 10**6) == 7
+    found = tiles.triangle_list_tiled(frame(spark, edges), 2, most=200)
+    # a tile is a partition, so none holds more
+    assert found.rdd.getNumPartitions() == buckets * (buckets + 1) * (buckets + 2) // 6
+    assert rows(found, "a", "b", "c") == rows(triangles.triangle_list(frame(spark, edges)), "a", "b", "c")
+
+
+def test_a_tiles_triangles_leave_it_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "_STEP", 500)
+    cells = tiles.tiled(frame(spark, complete(40)), 1).toArrow()
+    pieces = [len(piece) for piece in tiles._partition(iter(cells.to_batches()))]
+    assert sum(pieces) == 40 * 39 * 38 // 6 and max(pieces) <= 500
+    assert list(tiles._partition(iter([]))) == []
+
+
 @pytest.mark.parametrize("name, window", [*((name, 1) for name in CASES), ("random", 3), ("two", 16)])
 def test_trussness_by_frontiers(spark, name, window):
     edges = CASES[name]
